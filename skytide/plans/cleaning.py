@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytide.functions.columns import aircraft, micros
+from skytide.functions.columns import MICROS, aircraft, bucket, micros
 from skytide.operators.redelivery import hourly_counts, repeated_deliveries
 from skytide.operators.regrid import regrid
 from skytide.operators.sessions import sessions
+from skytide.operators.spikes import implausible
+from skytide.operators.trips import stops_and_trips
 from skytide.operators.zones import points_in_zones
 from skytide.sources.tables import table, table_path
 
@@ -34,6 +36,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_deliveries(spark, table_path(d, "wire"))
 
 
+def p3_readings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "decode", "seq", "icao", "event_ts", "altitude", "ground_speed", "lat", "lon", "vertical_rate")
+    return implausible(rows, F.col("seq"), aircraft(F.col("icao")), micros(F.col("event_ts")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_readings(spark, d).select("seq", "field")
+
+
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "heartbeat", "station_id", "body")
     readings = {"buffer_depth": F.col("body.buffer_depth"), "event_rate": F.col("body.event_rate")}
@@ -52,6 +63,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_counts(spark, d).where("corrected").select("station_id", "period_us")
 
 
+def p6_trips(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "decode", "icao", "event_ts", "lat", "lon")
+    return stops_and_trips(rows, aircraft(F.col("icao")), micros(F.col("event_ts")), F.col("lat"), F.col("lon")).withColumnRenamed("device", "icao")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    half_hour = lambda c: bucket(F.col(c), 1800 * MICROS)
+    return p6_trips(spark, d).where("kind = 'stop'").select("icao", half_hour("start_us").alias("start_slot"), half_hour("end_us").alias("end_slot"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows, fields = table(spark, d, "decode", "seq", "lat", "lon"), table(spark, d, "airfields", "airfield_id", "lat", "lon", "radius_m")
     return points_in_zones(rows, F.col("seq"), F.col("lat"), F.col("lon"), fields, "airfield_id").withColumnRenamed("key", "seq")
@@ -61,10 +82,14 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_spells": p1_spells,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_readings": p3_readings,
     "p4_found": p4_found,
     "p4_grid": p4_grid,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p6_found": p6_found,
+    "p6_trips": p6_trips,
     "p7_found": p7_found,
 }
 
