@@ -14,6 +14,29 @@ TEXTS = {"icao": 4, "squawk": 17}
 FLAGS = {"alert": 18, "emergency": 19, "spi": 20, "on_ground": 21}
 
 
+def _grammar(whole: str) -> str:
+    """One expression for a whole line, given that for a whole number."""
+    number = r"\s*[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\s*"
+    fields = ["[^,]*"] * FIELDS
+    for names, f in ((INTS, whole), (DOUBLES, number), (FLAGS, "0|-1")):
+        for n in names.values():
+            fields[n] = f"(?:{f})?"
+    return "\\A" + ",".join(fields) + "\\z"
+
+
+#: Lines that certainly fit, and lines whose numbers may be out of range.
+SURELY, MAYBE = _grammar("[+-]?[0-9]{1,9}"), _grammar("[+-]?[0-9]+")
+
+
+def good_line(raw: Column) -> Column:
+    """Whether a line can be read as a whole. Almost every line takes one pass of one expression."""
+    f = split_line(raw)
+    fits = F.lit(True)
+    for n in INTS.values():
+        fits = fits & ((f[n] == "") | f[n].try_cast("int").isNotNull())
+    return F.coalesce(raw.rlike(SURELY) | (raw.rlike(MAYBE) & fits), F.lit(False))
+
+
 def split_line(raw: Column) -> Column:
     """The fields, trailing empty ones kept."""
     return F.split(raw, ",", -1)

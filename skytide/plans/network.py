@@ -16,7 +16,7 @@ from skytide.operators.decode import decode, message_key, rejects, to_json_log
 from skytide.operators.fold import current_sky, fold, traces
 from skytide.operators.marks import drop_replays
 from skytide.schemas import PAYLOAD
-from skytide.session import shared_dir
+from skytide.session import shared_dir, stage
 from skytide.sources.tables import table, table_path
 from skytide.sources.topics import read
 from skytide.streaming import live
@@ -47,11 +47,11 @@ def _decoded(s, d):
 
 
 def _deduped(s, d):
-    return drop_replays(_decoded(s, d))
+    return drop_replays(stage(_decoded(s, d), "decoded"))
 
 
 def _folded(s, d):
-    return fold(_deduped(s, d))
+    return fold(stage(_deduped(s, d), "deduped"))
 
 
 def _beats(s, d):
@@ -95,23 +95,23 @@ def q_current_sky(s, d):
 
 def q_trace_upsert(s, d):
     """Traces of the deduplicated log are there; those of the log with all its repeats come in, twice."""
-    there, more = traces(_folded(s, d)), traces(fold(_decoded(s, d)))
+    there, more = stage(traces(_folded(s, d)), "traces"), stage(traces(fold(stage(_decoded(s, d), "decoded"))), "traces")
     first = history.insert_new(there.limit(0), there, history.KEY, "seq")
     return plain(history.upsert(first, more.unionAll(more)))
 
 
 def q_backfill_merge(s, d):
     """Traces as they came, merged with those that a replay of the archive makes, on the natural key."""
-    there = traces(_folded(s, d))
+    there = stage(traces(_folded(s, d)), "traces")
     replayed = archive.replay(archive.archive_rows(_wire(s, d))).withColumn("received_at", F.lit(None).cast("timestamp"))
-    again = traces(fold(drop_replays(decode(replayed))))
+    again = traces(fold(stage(drop_replays(stage(decode(replayed), "decoded")), "deduped")))
     first = history.insert_new(there.limit(0), there, history.KEY, "seq")
     return plain(history.upsert(first, again).drop("seq"))
 
 
 def q_flight_path(s, d):
     """Path of the most heard aircraft over its whole range."""
-    rows = traces(_folded(s, d))
+    rows = stage(traces(_folded(s, d)), "traces")
     busiest = rows.groupBy("icao").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "icao").limit(1)
     path = rows.join(F.broadcast(busiest.select("icao")), "icao", "left_semi")  # one row
     return plain(path.where("lat IS NOT NULL AND lon IS NOT NULL").select("seq", "lat", "lon", "position_ts").orderBy("position_ts"))
@@ -242,7 +242,7 @@ def q_buffer_sample(s, d):
 
 
 def q_map_view(s, d):
-    sky = current_sky(_folded(s, d))
+    sky = stage(current_sky(_folded(s, d)), "sky")
     now = sky.agg(F.max("last_seen").alias("now"))
     return livemap.markers(sky.crossJoin(F.broadcast(now)), F.col("now"))  # a single row beside each
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "skytide", cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a table in the shared folder and read back: for a result that several steps read, in place of
+    computing it in each. It survives the loss of executors, and readers take only the columns they need."""
+    at = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
