@@ -37,8 +37,8 @@ def stops_and_trips(
 ) -> DataFrame:
     """``device, kind (stop or trip), start_us, end_us, duration_us, pings, metres, lat, lon``.
 
-    A stop: a device within radius_m of one place (``lat``, ``lon``) for at least least_s. A trip: the pings between two
-    stops, or up to a hole of more than three hours; ``metres`` is the way along the filtered pings, 0 for a stop. Rows
+    A stop: a device within radius_m of one place (``lat``, ``lon``) for at least least_s. A trip: pings outside
+    stops, up to the next stop or a hole of more than three hours; ``metres`` is the way along the filtered pings, 0 for a stop. Rows
     with a null device, time or position, times before 2000 and positions beyond 90 or 180 degrees are no pings. Copies
     of a ping and ties change nothing; an empty table gives no rows.
 

@@ -25,6 +25,10 @@ def build_session(app: str = "skytide", cores: str = "*", shuffle_partitions: in
     )
 
 
+#: Folders of sessions that name none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder of our own under the folder that all executors share.
 
@@ -32,14 +36,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     folder then serves. On a cluster a missing setting is an error, as a machine-local folder would lose data with its
     executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _own.get(context.applicationId)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="skytide-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
+        root = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="skytide-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
