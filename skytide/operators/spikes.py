@@ -176,8 +176,8 @@ def outliers(f: Field, seg, sec, v, stretch, pace) -> np.ndarray:
         for _ in range(12):
             k = np.flatnonzero(~bad)
             found = _patches(f, seg[k], sec[k], v[k], least[k], stretch[k], pace[k], length)
-            if length == 1:
-                found |= _ends(f, seg[k], sec[k], v[k], least[k], stretch[k])
+            if length == 1 and not found.any():
+                found = _ends(f, seg[k], sec[k], v[k], least[k], stretch[k])
             if not found.any():
                 break
             bad[k[found]] = True
@@ -198,6 +198,8 @@ def _patches(f: Field, seg, sec, v, least, stretch, pace, length) -> np.ndarray:
         up, down = np.minimum(up, np.minimum(p, q)), np.minimum(down, np.minimum(-p, -q))
     near = np.minimum(sec[a + 1] - sec[a], sec[z] - sec[z - 1])
     slack = np.maximum(near - 60, 0) if f.name in ("altitude", "ground_speed") else near * pace[a + 1] * stretch[a + 1]
+    if f.name == "ground_speed":  # an aircraft may land and take off again, but not the other way round
+        slack = np.where(up > down, slack / 5, slack)
     over = np.maximum(up, down) - least[a + 1] - slack * f.sag
     over = np.where(inside, over, -1)
     hit = np.flatnonzero(over > 0)
@@ -205,11 +207,34 @@ def _patches(f: Field, seg, sec, v, least, stretch, pace, length) -> np.ndarray:
         if not found[max(i - 1, 0) : i + length + 2].any():
             found[i + 1 : i + length + 1] = True
     if length == 1 and len(hit):
-        worst = over >= np.maximum(np.append(over[1:], -1), np.insert(over[:-1], 0, -1))
+        rate = np.full(n, f.per_s) if f.name in ("altitude", "ground_speed") else pace * stretch
+        worst = _rougher(f, seg, sec, v, rate, over > 0)
         found[hit[worst[hit]] + 1] = True
     return found
 
 
+def _rougher(f: Field, seg, sec, v, rate, hit) -> np.ndarray:
+    """Which of the candidates to take out first (candidate i is reading i + 1). A spike makes its neighbours look like
+    spikes to the other side; of two candidates in a row, the one goes whose absence leaves the smoother series."""
+    n = len(v)
+
+    def link(a, b):
+        ok = (b < n) & (seg[np.minimum(b, n - 1)] == seg[a])
+        b = np.minimum(b, n - 1)
+        d = np.abs(_turn(f, v[b] - v[a]))
+        return np.where(ok, np.maximum(d - rate[a] * (sec[b] - sec[a]), 0) + d / 1000, 0)
+
+    out = hit.copy()
+    i = np.flatnonzero(hit[:-1] & hit[1:])
+    p = i + 1
+    first, second = link(p - 1, p + 1) + link(p + 1, p + 2), link(p - 1, p) + link(p, p + 2)  # roughness without either
+    out[i[first > second]] = False
+    out[i[first <= second] + 1] = False
+    if not out.any():
+        out[np.flatnonzero(hit)[:1]] = True
+    return out
+
+
 def _ends(f: Field, seg, sec, v, least, stretch) -> np.ndarray:
     """First and last readings of a series, or beside a hole, against the forecast from the one side that there is."""
     n = len(v)
