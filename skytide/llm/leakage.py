@@ -106,10 +106,10 @@ def leaks(df: DataFrame, key: Column, text: Column, items: DataFrame, item_id: C
     out = None
     for b in range(blocks):
         held = (parts if blocks == 1 else parts.where(F.col("part") == b)).select("id", "text").collect()
-        shared = spark.sparkContext.broadcast(([x.id for x in held], [x.text for x in held]))
+        shared = spark.sparkContext.broadcast(Items([x.id for x in held], [x.text for x in held], least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(*shared.value, least)
+            index = shared.value
             for x in batches:
                 keys = x.column("key").to_pylist()
                 found = [
