@@ -9,7 +9,7 @@ from skytide.functions.chunked import carry_in
 from skytide.functions.columns import MICROS, bucket
 from skytide.operators.history import insert_new
 from skytide.operators.registry import small
-from skytide.schemas import EVENTS_BODY
+from skytide.schemas import EVENTS_BODY, HEARTBEAT_BODY
 
 
 def explode_events(requests: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def event_problems(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.when(F.coalesce(F.size(events), F.lit(0)) <= 0, F.array(F.lit("events"))).otherwise(bad).alias("problems"))
 
 
+def parse_heartbeats(requests: DataFrame) -> DataFrame:
+    """requests with ``body`` (JSON) read as a report; text that isn't one gives a body without members, which
+    heartbeat_problems reports."""
+    return requests.withColumn("body", F.from_json("body", HEARTBEAT_BODY))
+
+
 def heartbeat_problems(heartbeats: DataFrame) -> DataFrame:
     """heartbeats with ``problems``: the members of ``body`` that are missing or negative."""
     b = F.col("body")

@@ -1,7 +1,8 @@
-"""The live pipeline: two chained streaming queries with keyed state.
+"""The live pipeline: two chained streaming queries with keyed state, and two that keep what passes.
 
 A: raw log -> decode -> high-water mark per station -> decoded topic. B: decoded topic -> fold per aircraft, with sweeps and
-expiry by processing time -> state log and trace log. State lives in the RocksDB state store and is checkpointed with the
+expiry by processing time -> state log and trace log. Beside them, C keeps every raw event in the archive, and D adds the
+traces of the live log and of a replay's log to the history table, each once. State lives in the RocksDB state store and is checkpointed with the
 query's progress; sinks are folder topics whose batches replace themselves.
 """
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from skytide.operators.archive import write_archive
 from skytide.operators.decode import decode
+from skytide.operators.history import KEY, REQUIRED, insert_new, write_traces
 from skytide.operators.marks import fingerprint
 from skytide.schemas import PAYLOAD, struct
 from skytide.sources.topics import publish, subscribe
@@ -153,3 +156,34 @@ def start_folder(spark: SparkSession, root: str, trigger: dict, sweep_ms: int |
 
     states = state_stream(subscribe(spark, [f"{root}/decoded"], DECODED), sweep_ms, expire_ms)
     return states.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint/folder").trigger(**trigger).start()
+
+
+def start_archiver(raw: DataFrame, archive: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Query C: every event of the raw log into the archive, undecodable ones included. A batch run again replaces itself."""
+    return raw.writeStream.foreachBatch(lambda df, b: write_archive(df, archive, b)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def start_history(spark: SparkSession, topics: list[str], table: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Query D: the traces of several topics (live, and of a replay) into one history table, by natural key, so that neither
+    a replay nor a retry adds a trace twice. A trace without one of its required members ends the query before the batch is
+    written."""
+    names = {"event_us": "event_ts", "first_us": "first_seen", "last_us": "last_seen", "position_us": "position_ts"}
+
+    def sink(df: DataFrame, b: int) -> None:
+        times = {new: F.timestamp_micros(old) for old, new in names.items()}
+        rows = df.withColumns(times).drop("kind", *names)
+        broken = F.greatest(*[F.col(c).isNull() for c in REQUIRED])
+        rows = rows.withColumn("icao", F.when(broken, F.raise_error(F.lit("a trace lacks a required member")).cast("string")).otherwise(F.col("icao")))
+        there = _history(df.sparkSession, table, rows.schema)
+        write_traces(insert_new(there, rows, KEY, "seq"), table)
+
+    traces = subscribe(spark, topics, STATE_LOG)
+    return traces.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _history(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(table)

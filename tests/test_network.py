@@ -16,7 +16,7 @@ from skytide.schemas import PAYLOAD
 from skytide.session import shared_dir
 from skytide.streaming.live import apply
 
-T0 = datetime(2026, 9, 14, 15, 0, 17, tzinfo=timezone.utc)
+T0 = datetime(2025, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
 WIRE = "seq BIGINT, station_id STRING, id BIGINT, ts TIMESTAMP, raw STRING, received_at TIMESTAMP"
 HEAD = "MSG,{},1,1,{},1,2026/01/02,03:04:05.678,2026/01/02,03:04:05.700,"
 
@@ -57,11 +57,11 @@ def test_bad_lines_are_rejected_whole(spark):
 
 
 def test_json_logs(spark):
-    log = spark.createDataFrame([(1, '{"station_id":"s","ts":"2026-09-14T15:00:17.000001Z","raw":"' + GOOD[0] + '","more":1}'), (2, "no json")], "seq BIGINT, value STRING")
+    log = spark.createDataFrame([(1, '{"station_id":"s","ts":"2025-05-06T07:08:09.000001Z","raw":"' + GOOD[0] + '","more":1}'), (2, "no json")], "seq BIGINT, value STRING")
     rows = from_json_log(log)
     assert decode(rows).count() == 1 and rejects(rows).count() == 1
     out = to_json_log(decode(rows)).first()
-    assert out.key == "ABC123" and '"ts":"2026-09-14T15:00:17.000001Z"' in out.value and "altitude" not in out.value
+    assert out.key == "ABC123" and '"ts":"2025-05-06T07:08:09.000001Z"' in out.value and "altitude" not in out.value
 
 
 def messages(n, seed):
@@ -130,10 +130,10 @@ def test_archive(spark):
         archive.write_archive(w, root, batch)
     a = archive.read_archive(spark, root)
     assert a.count() == 10
-    assert [r.dt for r in archive.days(a).collect()] == ["2026-09-14", "2026-09-15"]
+    assert [r.dt for r in archive.days(a).collect()] == ["2025-05-06", "2025-05-07"]
     assert [(r.seq, r.raw) for r in archive.replay(a).orderBy("seq").collect()] == [(1, "a"), (2, "b"), (3, "c")]
-    assert {(r.dt, r.station_id): r.events for r in archive.counts(a).collect()} == {("2026-09-14", "s"): 2, ("2026-09-15", "s"): 1, ("unknown", ""): 2}
-    assert {r.dt: (r.first_stamp, r.rows) for r in archive.manifest(archive.archive_rows(w)).collect()}["2026-09-14"] == ("20260914T150017.000000Z", 2)
+    assert {(r.dt, r.station_id): r.events for r in archive.counts(a).collect()} == {("2025-05-06", "s"): 2, ("2025-05-07", "s"): 1, ("unknown", ""): 2}
+    assert {r.dt: (r.first_stamp, r.rows) for r in archive.manifest(archive.archive_rows(w)).collect()}["2025-05-06"] == ("20250506T070809.000000Z", 2)
     assert archive.replay(a.limit(0)).count() == 0
 
 
@@ -192,6 +192,8 @@ def test_ingress(spark):
     assert [r.body for r in first.collect()] == [1] and ingress.store_heartbeats(first, beats, known).count() == 0
     body = "struct<reported_at:timestamp,uptime_seconds:bigint,disk_free_bytes:bigint,buffer_depth:bigint,event_rate:double>"
     hb = spark.createDataFrame([(1, None), (2, (T0, 1, -1, 0, None)), (3, (T0, 1, 1, 0, 0.0))], f"n INT, body {body}")
+    texts = spark.createDataFrame([('{"reported_at":"2025-05-06T07:08:09+00:00","buffer_depth":-1}',), ("junk",)], "body STRING")
+    assert sorted(r.problems for r in ingress.heartbeat_problems(ingress.parse_heartbeats(texts)).collect()) == [["buffer_depth"], ["reported_at"]]
     assert {r.n: r.problems for r in ingress.heartbeat_problems(hb).collect()} == {1: ["reported_at"], 2: ["disk_free_bytes"], 3: []}
 
 
