@@ -105,7 +105,7 @@ def _stretches(sec, lat, lon, radius_m):
     end = np.append(at[1:], n)
     if len(at) < 3:
         still = distance_m(np.median(lat), _middle(lon), lat, lon).max() <= radius_m
-        return [(0, n, bool(still))]
+        return [(0, n, True)] if still else _exact([], lat, lon, radius_m)
     mid = (at + end - 1) // 2
     y, x = np.array([np.median(lat[a:z]) for a, z in zip(at, end)]), np.array([_middle(lon[a:z]) for a, z in zip(at, end)])
     moved = distance_m(y[:-1], x[:-1], y[1:], x[1:]) / np.maximum((sec[mid[1:]] - sec[mid[:-1]]) / BIN_S, 0.5)
@@ -163,6 +163,13 @@ def _exact(found, lat, lon, radius_m):
             h += 1 if near[h] else 2
         free = np.flatnonzero(label[lo : hi + h] < 0) + lo
         label[free] = k
+    # the first and the last pings of a piece may belong to a stop that goes on beyond the break
+    if label[0] < 0:
+        far = np.flatnonzero((distance_m(lat[0], lon[0], lat, lon) > radius_m) | (label >= 0))
+        label[: far[0] if len(far) else n] = len(found)
+    if label[-1] < 0:
+        far = np.flatnonzero((distance_m(lat[-1], lon[-1], lat, lon) > radius_m) | (label >= 0))
+        label[far[-1] + 1 if len(far) else 0 :] = len(found) + 1
     cut = np.append(np.flatnonzero(np.diff(label, prepend=-2)), n)
     return [(a, z, bool(label[a] >= 0)) for a, z in zip(cut[:-1], cut[1:])]
 
