@@ -55,6 +55,8 @@ SCALES, PATCH = 8.0, 4
 STUCK = {"position": 6, "ground_speed": 7, "altitude": 5}
 #: A vertical rate (ft/min) that moves an altitude, and the change (ft) that a run must have missed.
 CLIMB, MISSED_FT = 400, 400
+#: Feet a second of a climb or descent whose rate wasn't heard.
+CRUISE_FT_S = 33
 
 
 def implausible(df: DataFrame, seq: Column, device: Column, event_us: Column, chunk_s: int = 6 * 3600, halo_s: int = 2400) -> DataFrame:
@@ -276,31 +278,48 @@ def stuck_runs(seg, sec, v, least: int) -> np.ndarray:
 
 
 def stuck_altitude(seg, sec, alt, rate) -> np.ndarray:
-    """Rows that repeat an altitude while the vertical rate, heard before and after them, says that it changed."""
+    """Rows that repeat an altitude although it must have changed: the vertical rate heard before and after them says so, or
+    the altitude after the run is further away than an aircraft can climb or sink meanwhile. A run may begin in level flight;
+    then it is stuck from when the change set in, told by the jump at its end and the rate."""
     out = np.zeros(len(alt), bool)
     rows, run, trans, new = _runs(seg, sec, alt)
-    heard = np.flatnonzero(np.isfinite(rate))
-    if not len(rows) or not len(heard):
+    if not len(rows):
         return out
+    heard = np.flatnonzero(np.isfinite(rate))
     nxt = np.searchsorted(heard, rows)
-    before, after = heard[np.maximum(nxt - 1, 0)], heard[np.minimum(nxt, len(heard) - 1)]
-    b = np.where((nxt > 0) & (seg[before] == seg[rows]) & (sec[rows] - sec[before] <= 120), rate[before], np.nan)
-    a = np.where((nxt < len(heard)) & (seg[after] == seg[rows]) & (sec[after] - sec[rows] <= 120), rate[after], np.nan)
+    b, a = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
+    if len(heard):
+        before, after = heard[np.maximum(nxt - 1, 0)], heard[np.minimum(nxt, len(heard) - 1)]
+        b = np.where((nxt > 0) & (seg[before] == seg[rows]) & (sec[rows] - sec[before] <= 120), rate[before], np.nan)
+        a = np.where((nxt < len(heard)) & (seg[after] == seg[rows]) & (sec[after] - sec[rows] <= 120), rate[after], np.nan)
     moving = (np.abs(a) > CLIMB) & (np.abs(b) > CLIMB) & (a * b > 0)
-    level = (np.abs(a) <= CLIMB) & (np.abs(b) <= CLIMB)
     starts = np.flatnonzero(new)
-    size = np.diff(np.append(starts, len(rows)))
-    for s, n in zip(starts[size >= 3], size[size >= 3]):
-        r = slice(s, s + n)
-        m = moving[r]
-        if not m.any() or trans[s + n - 1] - trans[s] + 1 < STUCK["altitude"]:
+    ends = np.append(starts[1:], len(rows)) - 1
+    then = np.minimum(ends + 1, len(rows) - 1)
+    wait = sec[rows[then]] - sec[rows[ends]]
+    jump = np.abs(alt[rows[then]] - alt[rows[ends]])
+    jumped = (seg[rows[then]] == seg[rows[ends]]) & (wait <= 200) & (jump > MISSED_FT + FIELDS[0].per_s * wait)
+    many = trans[ends] - trans[starts] + 1 >= STUCK["altitude"]
+    some = np.add.reduceat(moving, starts) > 0
+    for k in np.flatnonzero(many & (jumped | some)):
+        s, e = starts[k], ends[k] + 1
+        t, m = sec[rows[s:e]], moving[s:e]
+        first = int(np.argmax(m)) if m.any() else e - s
+        level = heard[slice(*np.searchsorted(heard, [rows[s], rows[s + first] if first < e - s else rows[e - 1] + 1]))]
+        level = level[np.abs(rate[level]) <= CLIMB]
+        onset = sec[level[-1]] if len(level) else -np.inf
+        if jumped[k]:
+            close = heard[slice(*np.searchsorted(heard, [rows[s], rows[then[k]] + 1]))]
+            near = np.abs(rate[close[(np.abs(rate[close]) > CLIMB) & (sec[close] > t[-1] - 300)]])
+            pace = np.median(near) / 60 if len(near) else CRUISE_FT_S
+            told = t[-1] + wait[k] - jump[k] / pace
+            onset = max(onset, min(told, t[first] if first < len(t) else np.inf))
+        hit = np.flatnonzero(t > onset)
+        if not len(hit):
             continue
-        t = sec[rows[r]]
-        i = int(np.argmax(m))
-        quiet = np.flatnonzero(level[r][:i])
-        begin = int(quiet[-1]) + 1 if len(quiet) else 0
-        missed = np.sum(np.diff(t)[begin:] * np.where(m[begin:-1], b[r][begin:-1] / 60, 0)) if n - begin > 1 else 0
-        if abs(missed) >= MISSED_FT and trans[s + n - 1] - trans[s + begin] + 1 >= STUCK["altitude"]:
-            hit = np.arange(s + begin, s + n)
-            out[rows[hit[trans[hit] > trans[s]]]] = True
+        h = int(hit[0])
+        missed = abs(np.sum(np.diff(t)[h:] * np.where(m[h:-1], b[s:e][h:-1] / 60, 0))) if e - s - h > 1 else 0
+        if (jumped[k] or missed >= MISSED_FT) and trans[e - 1] - trans[s + h] + 1 >= STUCK["altitude"] - 1:
+            stuck = np.arange(s + h, e)
+            out[rows[stuck[trans[stuck] > trans[s]]]] = True
     return out
