@@ -15,7 +15,7 @@ def repeated_deliveries(spark: SparkSession, path: str, batch_bytes: int = 256_0
     received (null last), then lowest ``seq``, stays. ``id`` 0 or null: a message of its own. Ties, repeated rows (of
     distinct ``seq``), an empty log and further columns are fine; ``seq`` must be unique.
     """
-    return ledger(spark, path, batch_bytes, drops=True, watermark_s=watermark_s).dropped()
+    return ledger(spark, path, batch_bytes, drops=True, watermark_s=watermark_s).close().dropped()
 
 
 def hourly_counts(spark: SparkSession, path: str, batch_bytes: int = 256_000_000, grace_s: int = 300, cutoff_s: int = 21_600) -> DataFrame:
@@ -25,7 +25,7 @@ def hourly_counts(spark: SparkSession, path: str, batch_bytes: int = 256_000_000
     counts nowhere. ``late``: received more than grace_s and at most cutoff_s after the hour's end; ``beyond``: later,
     not part of ``messages``. ``corrected``: the hour has late ones.
     """
-    counts = ledger(spark, path, batch_bytes, drops=False, counts=True, grace_s=grace_s, cutoff_s=cutoff_s).counted()
+    counts = ledger(spark, path, batch_bytes, drops=False, counts=True, grace_s=grace_s, cutoff_s=cutoff_s).close().counted()
     return counts.where("on_time > 0 OR late > 0 OR beyond > 0").select(
         "station_id", "period_us", "on_time", "late", "beyond", (F.col("on_time") + F.col("late")).alias("messages"), (F.col("late") > 0).alias("corrected")
     )

@@ -174,6 +174,14 @@ class Ledger:
             n += 1
         return n
 
+    def close(self) -> Ledger:
+        """Give up the state, which only further batches need; results stay."""
+        n = self.batches()
+        remove_dir(self.spark, f"{self.root}/state")
+        for b in range(n - 1):
+            remove_dir(self.spark, f"{self.root}/counts/batch={b}")
+        return self
+
     def dropped(self) -> DataFrame:
         """``seq`` of each delivery that repeats another."""
         n = self.batches()
