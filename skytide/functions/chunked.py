@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def carry_in(rows: DataFrame, keys: list[str], totals: dict[str, Column], over: dict[str, str]) -> DataFrame:
-    """rows (with a ``chunk`` column) with, for each total, ``c_<name>``: it over all earlier chunks of the key, null for
+    """rows (with a ``chunk`` column, and no nulls in keys) with, for each total, ``c_<name>``: it over all earlier chunks of the key, null for
     the first.
 
     totals: an aggregate per chunk. over: how chunks accumulate: ``max``, ``min``, ``sum``, ``set`` (union of arrays) or
@@ -29,5 +29,5 @@ def carry_in(rows: DataFrame, keys: list[str], totals: dict[str, Column], over:
         "set": lambda c: F.array_distinct(F.flatten(F.collect_list(c).over(w))),
     }
     before = per.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("chunk").alias("k_chunk"), *[how[over[n]](F.col(n)).alias(f"c_{n}") for n in totals])
-    match = [F.col(f"k_{k}").eqNullSafe(F.col(k)) for k in keys] + [F.col("k_chunk") == F.col("chunk")]
+    match = [F.col(f"k_{k}") == F.col(k) for k in keys] + [F.col("k_chunk") == F.col("chunk")]
     return rows.join(before, match, "left").drop("k_chunk", *[f"k_{k}" for k in keys])

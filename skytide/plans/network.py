@@ -243,8 +243,8 @@ def q_buffer_sample(s, d):
 
 def q_map_view(s, d):
     sky = stage(current_sky(_folded(s, d)), "sky")
-    now = sky.agg(F.max("last_seen").alias("now"))
-    return livemap.markers(sky.crossJoin(F.broadcast(now)), F.col("now"))  # a single row beside each
+    now = sky.agg(F.max(micros(F.col("last_seen")))).first()[0]
+    return livemap.markers(sky, F.timestamp_micros(F.lit(now).cast("long")))
 
 
 def q_map_totals(s, d):
