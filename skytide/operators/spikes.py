@@ -180,6 +180,8 @@ def outliers(f: Field, seg, sec, v, stretch, pace) -> np.ndarray:
             found = _patches(f, seg[k], sec[k], v[k], least[k], stretch[k], pace[k], length)
             if length == 1 and not found.any():
                 found = _ends(f, seg[k], sec[k], v[k], least[k], stretch[k])
+                if not found.any():
+                    found = _leaps(f, seg[k], sec[k], v[k], least[k], np.full(len(k), f.per_s) if f.name in ("altitude", "ground_speed") else pace[k] * stretch[k])
             if not found.any():
                 break
             bad[k[found]] = True
@@ -253,7 +255,33 @@ def _ends(f: Field, seg, sec, v, least, stretch) -> np.ndarray:
         d1, dt1 = _turn(f, v[p] - v[q]), np.maximum(np.abs(sec[p] - sec[q]), 1e-3)
         calm = np.abs(d1) <= f.per_s * stretch[p] * dt1 + least[p] / 4
         d0, dt0 = _turn(f, v[i] - v[p]), np.abs(sec[i] - sec[p])
-        found[i[calm & (np.abs(d0) > least[i] * 1.2 + f.per_s * stretch[i] * dt0)]] = True
+        found[i[calm & (np.abs(d0) > least[i] + (0.9 if f.name == "ground_speed" else 1) * f.per_s * stretch[i] * dt0)]] = True
+    return found
+
+
+def _leaps(f: Field, seg, sec, v, least, rate) -> np.ndarray:
+    """Readings that no aircraft can reach from the one before (or leave for the one after), where the series without
+    them is possible, and without their neighbour it isn't. One that agrees with its other neighbour is a level shift."""
+    n = len(v)
+    found = np.zeros(n, bool)
+    if n < 4:
+        return found
+
+    def possible(a, b):  # a < b; nothing is known over a hole
+        ok = (a >= 0) & (b < n)
+        a, b = np.maximum(a, 0), np.minimum(b, n - 1)
+        dt = sec[b] - sec[a]
+        near = ok & (seg[a] == seg[b]) & (dt <= HOLE_S)
+        fits = np.abs(_turn(f, v[b] - v[a])) <= rate[b] * dt + least[b]
+        return near & fits, near & ~fits
+
+    i = np.arange(1, n)
+    i = i[possible(i - 1, i)[1]]
+    without, not_without = possible(i - 1, i + 1)
+    without_last, not_without_last = possible(i - 2, i)
+    apart = lambda a, b: np.abs(_turn(f, v[np.minimum(b, n - 1)] - v[np.maximum(a, 0)])) > least[i] * 0.75
+    found[i[without & not_without_last & apart(i, i + 1)]] = True
+    found[i[without_last & not_without & apart(i - 2, i - 1)] - 1] = True
     return found
 
 
@@ -305,21 +333,21 @@ def stuck_altitude(seg, sec, alt, rate) -> np.ndarray:
         s, e = starts[k], ends[k] + 1
         t, m = sec[rows[s:e]], moving[s:e]
         first = int(np.argmax(m)) if m.any() else e - s
-        level = heard[slice(*np.searchsorted(heard, [rows[s], rows[s + first] if first < e - s else rows[e - 1] + 1]))]
-        level = level[np.abs(rate[level]) <= CLIMB]
-        onset = sec[level[-1]] if len(level) else -np.inf
+        until = t[first] if first < len(t) else np.inf
         if jumped[k]:
             close = heard[slice(*np.searchsorted(heard, [rows[s], rows[then[k]] + 1]))]
             near = np.abs(rate[close[(np.abs(rate[close]) > CLIMB) & (sec[close] > t[-1] - 300)]])
             pace = np.median(near) / 60 if len(near) else CRUISE_FT_S
-            told = t[-1] + wait[k] - jump[k] / pace
-            onset = max(onset, min(told, t[first] if first < len(t) else np.inf))
+            until = min(until, t[-1] + wait[k] - jump[k] / pace)  # it may have climbed earlier, but not later
+        level = heard[slice(*np.searchsorted(heard, [rows[s], rows[e - 1] + 1]))]
+        level = level[(np.abs(rate[level]) <= CLIMB) & (sec[level] <= until)]
+        onset = max(sec[level[-1]] if len(level) else -np.inf, until if jumped[k] else -np.inf)
         hit = np.flatnonzero(t > onset)
         if not len(hit):
             continue
         h = int(hit[0])
         missed = abs(np.sum(np.diff(t)[h:] * np.where(m[h:-1], b[s:e][h:-1] / 60, 0))) if e - s - h > 1 else 0
-        if (jumped[k] or missed >= MISSED_FT) and trans[e - 1] - trans[s + h] + 1 >= STUCK["altitude"] - 1:
+        if trans[e - 1] - trans[s + h] + 1 >= (2 if jumped[k] else STUCK["altitude"] - 1) and (jumped[k] or missed >= MISSED_FT):
             stuck = np.arange(s + h, e)
             out[rows[stuck[trans[stuck] > trans[s]]]] = True
     return out
