@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytide.functions.columns import bucket
+from skytide.session import ship
 
 
 def chunked(df: DataFrame, keys: list[str], us: str, chunk_us: int, halo_us: int, order: list[str]) -> DataFrame:
@@ -79,6 +80,7 @@ def on_segments(df: DataFrame, keys: list[str], f: Callable[[pa.Table, np.ndarra
         for t in whole_segments(batches, [*keys, "chunk"], rows):
             yield f(t, segment_ids(t, [*keys, "chunk"]))
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytide.session import ship
+
 EARTH_M = 6_371_008.8
 #: Zones of one broadcast decomposition. Beyond it, zones are taken in blocks of this many, a pass over the points each.
 BLOCK = 4096
@@ -147,6 +149,7 @@ def points_in_zones(points: DataFrame, key: Column, lat: Column, lon: Column, zo
     zones = zones.select(zone_id, "lat", "lon", "radius_m").dropna()
     n = zones.count()
     spark = points.sparkSession
+    ship(spark)
     schema = "key BIGINT, zone BIGINT"
     flat = points.select(key.alias("key"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon")).where("abs(lat) <= 90 AND abs(lon) <= 180")
     if n == 0:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Applications whose executors have this package.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, for Python stages: they may have neither the driver's folders nor its path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        at = Path(tempfile.mkdtemp(prefix="skytide-")) / "skytide.zip"
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(at))
+    _shipped.add(context.applicationId)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back: for a result that several steps read, in place of
     computing it in each. It survives the loss of executors, and readers take only the columns they need."""

@@ -20,6 +20,7 @@ from skytide.operators.decode import decode
 from skytide.operators.history import KEY, REQUIRED, insert_new, write_traces
 from skytide.operators.marks import fingerprint
 from skytide.schemas import PAYLOAD, struct
+from skytide.session import ship
 from skytide.sources.topics import publish, subscribe
 
 SWEEP_MS, EXPIRE_MS = 10_000, 300_000
@@ -141,6 +142,7 @@ def state_stream(decoded: DataFrame, sweep_ms: int | None = SWEEP_MS, expire_ms:
 
 
 def start_decoder(spark: SparkSession, raw: DataFrame, root: str, trigger: dict) -> StreamingQuery:
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     sink = lambda df, b: publish(df, f"{root}/decoded", b)
     return decoded_stream(raw).writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint/decoder").trigger(**trigger).start()
@@ -148,6 +150,7 @@ def start_decoder(spark: SparkSession, raw: DataFrame, root: str, trigger: dict)
 
 def start_folder(spark: SparkSession, root: str, trigger: dict, sweep_ms: int | None = SWEEP_MS, expire_ms: int = EXPIRE_MS) -> StreamingQuery:
     """A query with timers never runs out of work: give sweep_ms None with the trigger availableNow. Both outputs of a batch come from one evaluation: the state log is written, and the trace log is cut from it."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
     def sink(df: DataFrame, b: int) -> None:
