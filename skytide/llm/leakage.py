@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytide.llm.words import hashes, rolling, words
+from skytide.session import ship
 
 SCHEMA = "key BIGINT, item BIGINT, tiles INT, longest INT, covered INT, item_words INT"
 #: Items of one broadcast. Further items are taken in further blocks, a pass over the documents each.
@@ -98,6 +99,7 @@ def leaks(df: DataFrame, key: Column, text: Column, items: DataFrame, item_id: C
     once, to even out tasks, and gather nothing but hits.
     """
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(key.cast("long").alias("key"), text.alias("text")).where("text IS NOT NULL")
     rows = rows.repartition(partitions or 4 * max(spark.sparkContext.defaultParallelism, 2))
     items = items.select(item_id.cast("long").alias("id"), item_text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")

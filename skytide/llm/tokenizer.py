@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
+from skytide.session import ship
+
 #: Fixed value: the public pattern that splits text into the pieces merges stay within.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces remembered between blocks, and their longest length; both bound memory, not results.
@@ -133,6 +135,7 @@ def encode(df: DataFrame, key: Column, text: Column, vocabulary: str, partitions
     are spread evenly by one shuffle of the text, as scans give few and unequal tasks for the CPU time that this takes.
     """
     spark = df.sparkSession
+    ship(spark)
     merges = spark.sparkContext.broadcast(Merges.read(vocabulary))
     rows = df.select(key.cast("long").alias("key"), text.alias("text"))
     rows = rows.repartition(partitions or 4 * max(spark.sparkContext.defaultParallelism, 2))
