@@ -63,6 +63,8 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         context.addPyFile(str(at))
+        # the driver's own Python runners (stateful streams) get no files, but this
+        context.environment["PYTHONPATH"] = ":".join(x for x in (str(package.parent), context.environment.get("PYTHONPATH")) if x)
     _shipped.add(context.applicationId)
 
 
