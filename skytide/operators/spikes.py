@@ -1,14 +1,15 @@
 """Implausible readings: limit violations, spikes and stuck values, judged by how each aircraft otherwise flies.
 
-Each field of an aircraft is an irregular time series, autoregressive with a locally linear forecast: a reading is
-forecast from its neighbours, forwards and backwards, and its residual is set against the series' own robust scale (the
-median absolute residual) and a floor given by the field's plain scatter.
+Each field of an aircraft is an irregular time series with an autoregression fitted to it robustly (Huber): an increment is a
+share of what the slope before it makes one expect, plus noise. Residuals from the forecasts, forwards and backwards, are
+set against the series' own robust scale and a floor given by the field's plain scatter.
 
 1. Readings outside what can be reported at all are flagged and leave the series.
-2. Additive outliers are tested iteratively. A patch of one to four transmissions is an outlier if all of it lies on one
-   side of both the forecast from before and the one from after, beyond the threshold; the worst go first, the series is
-   refitted without them, until none is left. If the readings after a step stay at its level (longer than a patch), it is
-   a level shift, as over a hole in coverage, and no outlier.
+2. Additive outliers and level shifts are tested iteratively. A reading is an additive outlier if it lies on one side of both
+   the forecast from before and the one from after, beyond the threshold. After a jump, readings that stay at the new level
+   make a level shift, as over a hole in coverage, and are none; those that return are a patch of outliers, of any number of
+   transmissions, for as long as a forecast says anything (half of HOLE_S). The worst go first; the series is tested again
+   without them until nothing more is found, each series for itself.
 3. In what is left, runs of one unchanged value are stuck if the aircraft's other readings say that it changed: a
    position or a speed in the air that repeats to the last digit, unlike its scatter elsewhere, or an altitude under a
    steady vertical rate.
@@ -49,8 +50,10 @@ FIELDS = (
 )
 #: Seconds: copies of one transmission lie within COPY_S; neighbours further than HOLE_S away forecast nothing.
 COPY_S, HOLE_S = 0.6, 600.0
-#: Residuals of this many robust scales, and patches of up to this many transmissions.
-SCALES, PATCH = 8.0, 4
+#: Residuals of this many robust scales are outliers.
+SCALES = 8.0
+#: Seconds between readings that tell a slope, and how far a slope is carried on.
+TREND_S, REACH_S = (3.0, 120.0), 60.0
 #: Transmissions from which an unchanged value is stuck.
 STUCK = {"position": 6, "ground_speed": 7, "altitude": 5}
 #: A vertical rate (ft/min) that moves an altitude, and the change (ft) that a run must have missed.
@@ -152,74 +155,167 @@ def _turn(f: Field, d):
     return (d + 180) % 360 - 180 if f.name == "lon" else d
 
 
-def scale(f: Field, seg, sec, v) -> np.ndarray:
-    """Each series' robust scale: 1.4826 times the median absolute residual of the two-sided forecast."""
-    r = np.full(len(v), np.nan)
+def slopes(f: Field, seg, sec, v, stretch) -> tuple[np.ndarray, np.ndarray]:
+    """The change per second up to each reading from the one before, and from it to the one after; 0 where there is none
+    near enough, or where copies lie too close to tell. Bounded by what the field can do."""
+    up_to, on = np.zeros(len(v)), np.zeros(len(v))
+    if len(v) > 1:
+        dt = sec[1:] - sec[:-1]
+        ok = (seg[1:] == seg[:-1]) & (dt >= TREND_S[0]) & (dt <= TREND_S[1])
+        most = f.per_s * stretch[1:]
+        s = np.where(ok, np.clip(_turn(f, v[1:] - v[:-1]) / np.maximum(dt, TREND_S[0]), -most, most), 0)
+        up_to[1:], on[:-1] = s, s
+    return up_to, on
+
+
+def autoregression(f: Field, seg, sec, v, stretch) -> tuple[np.ndarray, np.ndarray]:
+    """Each reading's series' coefficient and robust scale. The model: an increment is phi times the increment that the
+    slope before it makes one expect, plus noise (an autoregression of first order in the rates, so of second order in the
+    values). Huber's estimate by reweighted least squares, steep slopes weighted down (an outlier's neighbours have them), phi within 0 and
+    1; the scale is 1.4826 times the median absolute
+    residual. A series of under 8 increments is a random walk (phi 0)."""
+    n = int(seg[-1]) + 1 if len(seg) else 0
+    phi, size = np.zeros(n), np.zeros(n)
     if len(v) > 2:
-        a, b, c = slice(0, -2), slice(1, -1), slice(2, None)
-        dt = np.maximum(sec[c] - sec[a], 1e-3)
-        inside = (seg[a] == seg[b]) & (seg[c] == seg[b]) & (dt < HOLE_S)
-        fore = v[a] + _turn(f, v[c] - v[a]) * (sec[b] - sec[a]) / dt
-        r[b] = np.where(inside, np.abs(_turn(f, v[b] - fore)), np.nan)
-    ok = np.flatnonzero(np.isfinite(r))
-    out = np.zeros(int(seg[-1]) + 1 if len(seg) else 0)
-    if len(ok):
-        ok = ok[np.lexsort((r[ok], seg[ok]))]
-        s, at, n = np.unique(seg[ok], return_index=True, return_counts=True)
-        out[s] = 1.4826 * r[ok][at + n // 2]
-    return out[seg]
+        dt = sec[1:] - sec[:-1]
+        rows = np.flatnonzero((seg[1:] == seg[:-1]) & (dt <= TREND_S[1]))
+        g, y = seg[rows + 1], _turn(f, v[rows + 1] - v[rows])
+        u = slopes(f, seg, sec, v, stretch)[0][rows] * np.minimum(dt[rows], REACH_S)
+        many = np.bincount(g, minlength=n) >= 8
+        size = _medians(g, np.abs(y), n)
+        lever = np.minimum(1, 2.5 * np.maximum(_medians(g, np.abs(u), n)[g], 1e-9) / np.maximum(np.abs(u), 1e-12)) ** 2
+        for _ in range(4):  # Huber's weights settle quickly
+            r = np.abs(y - phi[g] * u)
+            w = lever * np.minimum(1, 1.345 * np.maximum(size[g], 1e-9) / np.maximum(r, 1e-12))
+            uu = np.bincount(g, w * u * u, n)
+            phi = np.where(many & (uu > 0), np.clip(np.bincount(g, w * u * y, n) / np.maximum(uu, 1e-30), 0, 1), 0)
+        size = _medians(g, np.abs(y - phi[g] * u), n)
+    return phi[seg], size[seg]
+
+
+def _medians(g, r, n) -> np.ndarray:
+    """1.4826 times the median of each group; 0 for one without rows."""
+    out = np.zeros(n)
+    if len(g):
+        by = np.lexsort((r, g))
+        s, at, count = np.unique(g[by], return_index=True, return_counts=True)
+        out[s] = 1.4826 * r[by][at + count // 2]
+    return out
 
 
 def outliers(f: Field, seg, sec, v, stretch, pace) -> np.ndarray:
-    """Additive outliers among the transmissions of all series at once."""
+    """Additive outliers among the transmissions of many series.
+
+    Each series is worked to a fixed point of its own: single outliers, then ends, leaps and patches, each only where the
+    series shows none of the kinds before it; what is found is taken out and the series tested again without it. A series in
+    which nothing is found is done. So its answer is the same alone and beside any others.
+    """
     bad = np.zeros(len(v), bool)
-    least = np.maximum(f.floor * np.where(f.name == "lon", np.minimum(stretch, 3), 1), SCALES * scale(f, seg, sec, v))
-    for length in range(1, PATCH + 1):
-        for _ in range(12):
-            k = np.flatnonzero(~bad)
-            found = _patches(f, seg[k], sec[k], v[k], least[k], stretch[k], pace[k], length)
-            if length == 1 and not found.any():
-                found = _ends(f, seg[k], sec[k], v[k], least[k], stretch[k])
-                if not found.any():
-                    found = _leaps(f, seg[k], sec[k], v[k], least[k], np.full(len(k), f.per_s) if f.name in ("altitude", "ground_speed") else pace[k] * stretch[k])
-            if not found.any():
+    if not len(v):
+        return bad
+    phi, size = autoregression(f, seg, sec, v, stretch)
+    least = np.maximum(f.floor * (np.minimum(stretch, 3) if f.name == "lon" else 1), SCALES * size)
+    rate = np.full(len(v), f.per_s) if f.name in ("altitude", "ground_speed") else pace * stretch
+    live = np.arange(len(v))
+    while len(live):
+        found = np.zeros(len(live), bool)
+        hit = np.zeros(int(seg[-1]) + 1, bool)
+        for test in (_singles, _ends, _leaps, _patches):
+            open_ = np.flatnonzero(~hit[seg[live]])
+            if not len(open_):
                 break
-            bad[k[found]] = True
+            k = live[open_]
+            new = test(f, seg[k], sec[k], v[k], phi[k], least[k], stretch[k], rate[k])
+            found[open_[new]] = True
+            hit[seg[k[new]]] = True
+        bad[live[found]] = True
+        live = live[hit[seg[live]] & ~found]
     return bad
 
 
-def _patches(f: Field, seg, sec, v, least, stretch, pace, length) -> np.ndarray:
-    """Patches of length readings beyond the forecasts from both sides. Of overlapping ones the worst."""
+def _over(f: Field, seg, sec, v, phi, least, stretch, rate):
+    """Per reading the forecasts' reach: what the trend adds to it going on, and going back; and the threshold that a
+    reading has to pass that lies dt from it."""
+    up_to, on = slopes(f, seg, sec, v, stretch)
+    fore = lambda a, dt: phi[a] * up_to[a] * np.minimum(dt, REACH_S)
+    back = lambda z, dt: -phi[z] * on[z] * np.minimum(dt, REACH_S)
+    plain = f.name in ("altitude", "ground_speed")
+    slack = lambda near, i: f.sag * (np.maximum(near - 60, 0) if plain else near * rate[i])
+    return fore, back, slack
+
+
+def _singles(f: Field, seg, sec, v, phi, least, stretch, rate) -> np.ndarray:
+    """The test for an additive outlier at each reading: its residuals from the forecast from before and from the one from
+    after lie on one side, both beyond the threshold, whether the trend goes on or the level stays."""
     n = len(v)
     found = np.zeros(n, bool)
-    if n < length + 2:
+    if n < 3:
         return found
-    a, z = np.arange(0, n - length - 1), np.arange(length + 1, n)
-    inside = (seg[a] == seg[z]) & (sec[a + 1] - sec[a] <= HOLE_S) & (sec[z] - sec[z - 1] <= HOLE_S) & (sec[z - 1] - sec[a + 1] <= HOLE_S / 2)
-    up, down = np.full(len(a), np.inf), np.full(len(a), np.inf)
-    for k in range(1, length + 1):
-        p, q = _turn(f, v[a + k] - v[a]), _turn(f, v[a + k] - v[z])
-        up, down = np.minimum(up, np.minimum(p, q)), np.minimum(down, np.minimum(-p, -q))
-    near = np.minimum(sec[a + 1] - sec[a], sec[z] - sec[z - 1])
-    slack = np.maximum(near - 60, 0) if f.name in ("altitude", "ground_speed") else near * pace[a + 1] * stretch[a + 1]
+    fore, back, slack = _over(f, seg, sec, v, phi, least, stretch, rate)
+    a, i, z = np.arange(n - 2), np.arange(1, n - 1), np.arange(2, n)
+    da, dz = sec[i] - sec[a], sec[z] - sec[i]
+    inside = (seg[a] == seg[z]) & (da <= HOLE_S) & (dz <= HOLE_S)
+    p, q = _turn(f, v[i] - v[a]), _turn(f, v[i] - v[z])
+    pt, qt = p - fore(a, da), q - back(z, dz)
+    up, down = np.minimum(np.minimum(p, pt), np.minimum(q, qt)), np.minimum(np.minimum(-p, -pt), np.minimum(-q, -qt))
+    s = slack(np.minimum(da, dz), i)
     if f.name == "ground_speed":  # an aircraft may land and take off again, but not the other way round
-        slack = np.where(up > down, slack / 5, slack)
-    over = np.maximum(up, down) - least[a + 1] - slack * f.sag
-    over = np.where(inside, over, -1)
-    hit = np.flatnonzero(over > 0)
-    for i in hit[np.argsort(-over[hit])] if length > 1 else ():
-        if not found[max(i - 1, 0) : i + length + 2].any():
-            found[i + 1 : i + length + 1] = True
-    if length == 1 and len(hit):
-        rate = np.full(n, f.per_s) if f.name in ("altitude", "ground_speed") else pace * stretch
-        worst = _rougher(f, seg, sec, v, rate, over > 0)
-        found[hit[worst[hit]] + 1] = True
+        s = np.where(up > down, s / 5, s)
+    over = np.where(inside, np.maximum(up, down) - least[i] - s, -1) > 0
+    if over.any():
+        worst = _rougher(f, seg, sec, v, rate, over)
+        found[np.flatnonzero(worst) + 1] = True
+    return found
+
+
+def _patches(f: Field, seg, sec, v, phi, least, stretch, rate) -> np.ndarray:
+    """The test of level shifts: after a jump that the forecast rules out, the readings either stay (a level shift, no
+    outlier) or come back to where the forecast from before leaves them, within half of HOLE_S. Then all of them, however many,
+    are a patch of outliers if they lie beyond both sides' forecasts. Of overlapping patches of a series the shortest, then
+    the worst."""
+    n = len(v)
+    found = np.zeros(n, bool)
+    if n < 4:
+        return found
+    fore, back, slack = _over(f, seg, sec, v, phi, least, stretch, rate)
+    a = np.arange(n - 1)
+    i = a + 1
+    dt = sec[i] - sec[a]
+    p = _turn(f, v[i] - v[a])
+    near = (seg[a] == seg[i]) & (dt <= HOLE_S)
+    jump = np.minimum(np.abs(p), np.where(p * (p - fore(a, dt)) > 0, np.abs(p - fore(a, dt)), 0))
+    patches = []
+    for j in np.flatnonzero(near & (jump > least[i])).tolist():
+        b = j + 1  # the first reading of the patch
+        last = int(np.searchsorted(seg, seg[b], side="right"))
+        end = b + int(np.searchsorted(sec[b:last], sec[b] + HOLE_S / 2, side="right"))
+        d = _turn(f, v[b : min(end + 1, last)] - v[j])
+        side = 1.0 if d[0] > 0 else -1.0
+        still = side * d > least[b]
+        r = len(d) if still.all() else int(np.argmin(still))
+        z = b + r
+        if r < 2 or z >= last or sec[z] - sec[z - 1] > HOLE_S or sec[z - 1] - sec[b] > HOLE_S / 2:
+            continue
+        w, ts = v[b:z], sec[b:z]
+        pb, pz = side * _turn(f, w - v[j]), side * _turn(f, w - v[z])
+        tb, tz = pb - side * fore(j, ts - sec[j]), pz - side * back(z, sec[z] - ts)
+        s = slack(min(sec[b] - sec[j], sec[z] - sec[z - 1]), b)
+        if f.name == "ground_speed" and side > 0:
+            s /= 5
+        s += rate[b] * min(sec[z - 1] - sec[b], sec[b] - sec[j], sec[z] - sec[z - 1])  # the longer it lasts, the more it may have flown there
+        worst = min(pb.min(), pz.min(), tb.min(), tz.min()) - least[b] - s
+        if worst > 0:
+            patches.append((r, -worst, b, z))
+    for r, _, b, z in sorted(patches):
+        if not found[max(b - 1, 0) : z + 1].any():
+            found[b:z] = True
     return found
 
 
 def _rougher(f: Field, seg, sec, v, rate, hit) -> np.ndarray:
     """Which of the candidates to take out first (candidate i is reading i + 1). A spike makes its neighbours look like
-    spikes to the other side; of two candidates in a row, the one goes whose absence leaves the smoother series."""
+    spikes to the other side: of two candidates in a row, the one goes whose absence leaves the smoother series; of more, every
+    second one."""
     n = len(v)
 
     def link(a, b):
@@ -229,17 +325,26 @@ def _rougher(f: Field, seg, sec, v, rate, hit) -> np.ndarray:
         return np.where(ok, np.maximum(d - rate[a] * (sec[b] - sec[a]), 0) + d / 1000, 0)
 
     out = hit.copy()
-    i = np.flatnonzero(hit[:-1] & hit[1:])
+    c = np.flatnonzero(hit)
+    begin = np.flatnonzero(np.diff(c, prepend=-2) != 1)
+    long = np.diff(np.append(begin, len(c)))
+    # two in a row: the roughness without either
+    i = c[begin[long == 2]]
     p = i + 1
-    first, second = link(p - 1, p + 1) + link(p + 1, p + 2), link(p - 1, p) + link(p, p + 2)  # roughness without either
+    first, second = link(p - 1, p + 1) + link(p + 1, p + 2), link(p - 1, p) + link(p, p + 2)
     out[i[first > second]] = False
     out[i[first <= second] + 1] = False
-    if not out.any():
-        out[np.flatnonzero(hit)[:1]] = True
+    # more: spikes and fine readings take turns; of the two, those go that lie further from the readings around the row
+    many = np.repeat(long > 2, long)
+    row, place = np.repeat(np.arange(len(begin)), long), np.arange(len(c)) - np.repeat(begin, long)
+    far = np.minimum(np.abs(_turn(f, v[c + 1] - v[np.repeat(c[begin], long)])), np.abs(_turn(f, v[c + 1] - v[np.repeat(c[begin + long - 1] + 2, long)]))) if len(c) else np.empty(0)
+    mean = [np.bincount(row, far * (place % 2 == k), len(begin)) / np.maximum(np.bincount(row, place % 2 == k, len(begin)), 1) for k in (0, 1)]
+    stays = np.where(mean[0] >= mean[1], 1, 0)
+    out[c[many & (place % 2 == stays[row])]] = False
     return out
 
 
-def _ends(f: Field, seg, sec, v, least, stretch) -> np.ndarray:
+def _ends(f: Field, seg, sec, v, phi, least, stretch, rate) -> np.ndarray:
     """First and last readings of a series, or beside a hole, against the forecast from the one side that there is."""
     n = len(v)
     found = np.zeros(n, bool)
@@ -259,7 +364,7 @@ def _ends(f: Field, seg, sec, v, least, stretch) -> np.ndarray:
     return found
 
 
-def _leaps(f: Field, seg, sec, v, least, rate) -> np.ndarray:
+def _leaps(f: Field, seg, sec, v, phi, least, stretch, rate) -> np.ndarray:
     """Readings that no aircraft can reach from the one before (or leave for the one after), where the series without
     them is possible, and without their neighbour it isn't. One that agrees with its other neighbour is a level shift."""
     n = len(v)

@@ -3,9 +3,10 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from skytide.operators.spikes import implausible
+from skytide.operators.spikes import FIELDS, autoregression, implausible, outliers
 
 T0 = 1_741_000_000
 SCHEMA = "seq BIGINT, icao STRING, us BIGINT, altitude INT, ground_speed DOUBLE, lat DOUBLE, lon DOUBLE, vertical_rate INT, chunk INT, field STRING"
@@ -81,3 +82,51 @@ def test_nulls_times_and_empty(spark):
     f = lambda d: {(r.seq, r.field) for r in implausible(d, F.col("seq"), F.col("icao"), F.col("us")).collect()}
     assert f(df) == {(5, "ground_speed"), (5, "lon")}
     assert f(df.limit(0)) == set()
+
+
+def level(n, seed, planted=()):
+    """A cruise at 30,000 ft, ten seconds apart, with planted readings: seconds and feet."""
+    r = np.random.default_rng(seed)
+    v = 30_000 + r.normal(0, 20, n)
+    for k in planted:
+        v[k] += 20_000
+    return 10.0 * np.arange(n), v
+
+
+def spikes_of(*series):
+    """Of each series (seconds, feet) the readings found, all in one call."""
+    seg = np.repeat(np.arange(len(series)), [len(s) for s, _ in series])
+    sec, v = np.concatenate([s for s, _ in series]), np.concatenate([x for _, x in series])
+    one = np.ones(len(v))
+    bad = outliers(FIELDS[0], seg, sec, v, one, 60 * one)
+    return [set(np.flatnonzero(bad[seg == k]).tolist()) for k in range(len(series))]
+
+
+def test_a_series_is_judged_alone():
+    dense = set(range(10, 130, 4))
+    for planted in ({0}, {50}, {199}, {20, 21, 22}, set()):
+        assert spikes_of(level(200, 1, planted), level(200, 2, dense)) == [planted, dense]
+        assert spikes_of(level(200, 1, planted)) == [planted]
+
+
+def test_patches_of_any_length_and_level_shifts():
+    for n in (1, 2, 4, 5, 6, 8, 15, 25):
+        assert spikes_of(level(200, n, set(range(80, 80 + n)))) == [set(range(80, 80 + n))]
+    assert spikes_of(level(200, 9, set(range(100, 200)))) == [set()]  # it stays
+    assert spikes_of(level(200, 9, set(range(60, 120)))) == [set()]  # ten minutes: no forecast reaches over it
+    alternating = set(range(20, 140, 2))
+    assert spikes_of(level(400, 3, alternating)) == [alternating]
+
+
+def test_autoregression():
+    r = np.random.default_rng(5)
+    rate = np.zeros(3000)
+    for k in range(1, 3000):
+        rate[k] = 0.6 * rate[k - 1] + r.normal(0, 1)
+    v = np.cumsum(10 * rate)
+    v[::50] += 5000  # outliers hardly move it
+    seg, one = np.zeros(3000, int), np.ones(3000)
+    phi, size = autoregression(FIELDS[0], seg, 10.0 * np.arange(3000), v, one)
+    assert 0.45 < phi[0] < 0.7 and 7 < size[0] < 14
+    phi, _ = autoregression(FIELDS[0], seg, 10.0 * np.arange(3000), r.normal(0, 9, 3000), one)
+    assert phi[0] == 0
