@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skytide.session import shared_dir
+
 UNKNOWN = "unknown"
 ORDER = ["ts", "station_id", "raw"]
 
@@ -65,14 +67,10 @@ def replay(archive: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with ``seq``: their place in the order of the given columns (which must be total for a unique answer)."""
     spark = rows.sparkSession
-    from skytide.session import shared_dir
-
     at = shared_dir(spark, "ordered")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).write.parquet(at)
+    ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).write.mode("overwrite").parquet(at)
     kept = spark.read.parquet(at)
-    from pyspark.sql import Window
-
     sizes = kept.groupBy("part").agg(F.count("*").alias("n"))
     offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))  # a row per partition
     return kept.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("at") + 1).alias("seq"), *rows.columns)

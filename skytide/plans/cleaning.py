@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytide.functions.columns import MICROS, aircraft, bucket, micros
-from skytide.operators.redelivery import hourly_counts, repeated_deliveries
+from skytide.operators.redelivery import count_corrections, hourly_counts, repeated_deliveries
 from skytide.operators.regrid import regrid
 from skytide.operators.sessions import sessions
 from skytide.operators.spikes import implausible
@@ -63,6 +63,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_counts(spark, d).where("corrected").select("station_id", "period_us")
 
 
+def p5_corrections(spark: SparkSession, d: str) -> DataFrame:
+    return count_corrections(spark, table_path(d, "wire"))
+
+
 def p6_trips(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "decode", "icao", "event_ts", "lat", "lon")
     return stops_and_trips(rows, aircraft(F.col("icao")), micros(F.col("event_ts")), F.col("lat"), F.col("lon")).withColumnRenamed("device", "icao")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "p4_grid": p4_grid,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p5_corrections": p5_corrections,
     "p6_found": p6_found,
     "p6_trips": p6_trips,
     "p7_found": p7_found,
@@ -107,6 +112,20 @@ c AS (SELECT station_id, period_us, count(*) FILTER (recv <= period_us + 3900000
              count(*) FILTER (recv > period_us + 3900000000 AND recv <= period_us + 25200000000) AS late,
              count(*) FILTER (recv > period_us + 25200000000) AS beyond FROM kept GROUP BY ALL)
 """
+_CORRECTIONS = """
+WITH s AS (SELECT min(seq) AS low, (max(seq) - min(seq) + 10) // 10 AS step FROM wire),
+r AS (SELECT station_id, id, ts, epoch_us(received_at) AS recv, seq, (seq - low) // step AS b FROM wire, s),
+k AS (SELECT station_id, id, ts, b, min({'unknown': recv IS NULL, 'recv': coalesce(recv, 0), 'seq': seq}) AS m FROM r WHERE id <> 0 GROUP BY ALL),
+q AS (SELECT *, min(m) OVER (PARTITION BY station_id, id, ts ORDER BY b) AS now,
+             min(m) OVER (PARTITION BY station_id, id, ts ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM k),
+moves AS (SELECT station_id, ts, b, CASE WHEN NOT now.unknown THEN now.recv END AS recv, 1 AS d FROM q WHERE old IS NULL OR now.seq <> old.seq
+          UNION ALL SELECT station_id, ts, b, CASE WHEN NOT old.unknown THEN old.recv END, -1 FROM q WHERE now.seq <> old.seq
+          UNION ALL SELECT station_id, ts, b, recv, 1 FROM r WHERE id = 0 OR id IS NULL),
+h AS (SELECT station_id, b, epoch_us(ts) - epoch_us(ts) % 3600000000 AS period_us, recv, d FROM moves WHERE ts IS NOT NULL AND recv IS NOT NULL),
+c AS (SELECT station_id, period_us, b, sum(CASE WHEN recv <= period_us + 25200000000 THEN d ELSE 0 END) AS n FROM h GROUP BY ALL),
+v AS (SELECT *, sum(n) OVER (PARTITION BY station_id, period_us ORDER BY b) AS now FROM c),
+o AS (SELECT CAST(b AS INT) AS batch, station_id, period_us, unnest([n - now, now]) AS delta FROM v WHERE n <> 0)
+"""
 _GRID = """
 WITH r AS (SELECT station_id, epoch_us(body.reported_at) AS us, body.buffer_depth AS depth, body.event_rate AS rate FROM heartbeat
            WHERE body.reported_at IS NOT NULL),
@@ -132,6 +151,7 @@ SQL: dict[str, str] = {
          CASE WHEN reports > 0 THEN 'observed' WHEN buffer_depth IS NOT NULL OR event_rate IS NOT NULL THEN 'filled' ELSE 'missing' END AS state FROM k""",
     "p5_found": _KEPT + "SELECT station_id, period_us FROM c WHERE late > 0",
     "p5_counts": _KEPT + "SELECT *, on_time + late AS messages, late > 0 AS corrected FROM c",
+    "p5_corrections": _CORRECTIONS + "SELECT batch, station_id, period_us, CAST(delta AS BIGINT) AS delta FROM o WHERE delta <> 0",
     "p7_found": """SELECT seq, airfield_id FROM decode d JOIN airfields a
                    ON 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(a.lat - d.lat) / 2), 2)
                       + cos(radians(d.lat)) * cos(radians(a.lat)) * pow(sin(radians(a.lon - d.lon) / 2), 2)))) <= a.radius_m

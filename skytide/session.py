@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only a local master may go without it; a temporary
     folder then serves. On a cluster a missing setting is an error, as a machine-local folder would lose data with its
-    executor.
+    executor. The folder is deleted when the driver ends.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _own.get(context.applicationId)
@@ -44,7 +44,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="skytide-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # readers are lazy: what a query made may go only with the session
+    return path
 
 
 #: Applications whose executors have this package.
@@ -72,12 +76,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back: for a result that several steps read, in place of
     computing it in each. It survives the loss of executors, and readers take only the columns they need."""
     at = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)

@@ -11,10 +11,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def instants(df: DataFrame) -> DataFrame:
+    """df with zoneless timestamps as instants in UTC."""
+    zoneless = {f.name: F.col(f"`{f.name}`").cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
+    return df.withColumns(zoneless) if zoneless else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of a data folder. Zoneless timestamps become instants in UTC."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    if columns:
-        df = df.select(*columns)
-    zoneless = {f.name: F.col(f"`{f.name}`").cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
-    return df.withColumns(zoneless) if zoneless else df
+    return instants(df.select(*columns) if columns else df)

@@ -20,7 +20,7 @@ from skytide.operators.decode import decode
 from skytide.operators.history import KEY, REQUIRED, insert_new, write_traces
 from skytide.operators.marks import fingerprint
 from skytide.schemas import PAYLOAD, struct
-from skytide.session import ship
+from skytide.session import filesystem, ship
 from skytide.sources.topics import publish, subscribe
 
 SWEEP_MS, EXPIRE_MS = 10_000, 300_000
@@ -185,8 +185,7 @@ def start_history(spark: SparkSession, topics: list[str], table: str, checkpoint
 
 
 def _history(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    fs, path = filesystem(spark, table)
+    if not fs.exists(path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(table)
