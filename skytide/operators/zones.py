@@ -4,6 +4,9 @@ A zone's boundary meets each parallel of latitude in two points, so between the
 each other (a slab) the boundaries are edges in a fixed order of longitude. Between two neighbouring edges of a slab lies
 a trapezoid, every point of which is in the same zones. A point is located by binary search for its slab, then by binary
 search among the slab's edges, each evaluated at the point's own latitude.
+
+Slabs are distributed by latitude: a group of them, those of one degree, goes with the zones that reach into it to the tasks
+that get the points of these latitudes, and is built there.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from pyspark.sql import functions as F
 from skytide.session import ship
 
 EARTH_M = 6_371_008.8
-#: Zones of one broadcast decomposition. Beyond it, zones are taken in blocks of this many, a pass over the points each.
-BLOCK = 4096
+#: Degrees of latitude of a group of slabs, and of the cells that points without a zone near are told by.
+BAND = 1.0
+#: Zones of one decomposition, and the zones that its trapezoids may list altogether; zones beyond make further ones, which
+#: each point is also looked up in.
+ZONES, MEMBERS = 512, 2_000_000
 #: Zones are widened by this share of their radius for the search; the distance itself decides.
 SLACK = 1e-6
 
@@ -32,9 +38,9 @@ def distance_m(lat1, lon1, lat2, lon2):
 
 
 class Slabs:
-    """The decomposition of zones (arrays of id, degrees and metres)."""
+    """The decomposition of zones (arrays of id, degrees and metres) between two latitudes."""
 
-    def __init__(self, ids, lat, lon, radius_m):
+    def __init__(self, ids, lat, lon, radius_m, bottom=-90.0, top=90.0):
         ok = np.isfinite(lat) & np.isfinite(lon) & np.isfinite(radius_m) & (np.abs(lat) <= 90) & (radius_m >= 0)
         self.ids, self.lat, self.lon, self.radius = ids[ok], lat[ok], (lon[ok] + 180) % 360 - 180, radius_m[ok]
         ang = np.minimum(self.radius / EARTH_M * (1 + SLACK) + 1e-12, np.pi)
@@ -46,9 +52,19 @@ class Slabs:
         polar = (self.lat + np.degrees(ang) > 90) | (self.lat - np.degrees(ang) < -90)
         turn = np.concatenate([np.where(self.lat + np.degrees(ang) > 90, 180 - (self.lat + np.degrees(ang)), 0), np.where(self.lat - np.degrees(ang) < -90, -180 - (self.lat - np.degrees(ang)), 0)])
         self.south, self.north = south, north
-        cuts = np.unique(np.concatenate([south, north, turn[np.concatenate([polar, polar])], self._crossings()]))
-        self.cuts = cuts if len(cuts) > 1 else np.array([-90.0, 90.0])
-        self._build()
+        cuts = np.unique(np.concatenate([south, north, turn[np.concatenate([polar, polar])], self._crossings(), [bottom, top]]))
+        self.cuts = cuts[(cuts >= bottom) & (cuts <= top)]
+        mid = (self.cuts[1:] + self.cuts[:-1]) / 2
+        held = np.searchsorted(np.sort(south), mid) - np.searchsorted(np.sort(north), mid)
+        #: At most how many zones the trapezoids list.
+        self.size = int((held * (2 * held + 1)).sum())
+        # degrees of longitude that no zone lies further away than, from the middle of them
+        self.middle = float(np.median(self.lon)) if len(self.lon) else 0.0
+        with np.errstate(invalid="ignore"):
+            wide = np.where(np.abs(self.lat) + np.degrees(ang) >= 90, 180, np.degrees(np.arcsin(np.minimum(np.sin(ang) / np.maximum(self.cos_lat, 1e-12), 1))))
+        self.reach = float((np.abs((self.lon - self.middle + 180) % 360 - 180) + wide).max()) + 1e-6 if len(self.lon) else -1.0
+        if self.size <= MEMBERS or len(self.ids) == 1:
+            self._build()
 
     def half(self, zone, lat_deg):
         """Half the width in degrees of longitude that each zone has at a latitude."""
@@ -112,7 +128,7 @@ class Slabs:
     def locate(self, lat, lon):
         """Pairs of point and zone (indexes) with the point in the zone."""
         lat, lon = np.asarray(lat, float), np.asarray(lon, float)
-        p = np.flatnonzero((np.abs(lat) <= 90) & (np.abs(lon) <= 180) & (lat >= self.cuts[0]) & (lat <= self.cuts[-1]))
+        p = np.flatnonzero((np.abs(lat) <= 90) & (np.abs(lon) <= 180) & (lat >= self.cuts[0]) & (lat <= self.cuts[-1]) & (np.abs((lon - self.middle + 180) % 360 - 180) <= self.reach))
         if not len(self.ids) or not len(p):
             return np.empty(0, int), np.empty(0, int)
         x, y = lon[p], lat[p]
@@ -135,40 +151,81 @@ class Slabs:
         return p[point[near]], member[near]
 
 
-def points_in_zones(points: DataFrame, key: Column, lat: Column, lon: Column, zones: DataFrame, zone_id: str, block: int = BLOCK) -> DataFrame:
+def decompositions(ids, lat, lon, radius_m, low=-90.0, high=90.0, zones=ZONES) -> Iterator[Slabs]:
+    """Zones in as many decompositions as their bounds ask for, neighbours in longitude together."""
+    order = np.argsort(lon, kind="stable")
+    todo = [order[k : k + zones] for k in range(0, len(order), zones)]
+    while todo:
+        part = todo.pop()
+        slabs = Slabs(ids[part], lat[part], lon[part], radius_m[part], low, high)
+        if slabs.size > MEMBERS and len(part) > 1:
+            todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+        elif len(slabs.ids):
+            yield slabs
+
+
+def _bands(low: Column, high: Column) -> Column:
+    """The groups of slabs from one latitude to another."""
+    number = lambda c: F.least(F.greatest(F.floor((c + 90) / BAND), F.lit(0)), F.lit(int(180 / BAND) - 1)).cast("int")
+    return F.sequence(number(low), number(high))
+
+
+def points_in_zones(points: DataFrame, key: Column, lat: Column, lon: Column, zones: DataFrame, zone_id: str, salts: int | None = None) -> DataFrame:
     """Each pair of a point and a zone whose circle holds it: ``key`` and the zone's id.
 
     zones: columns zone_id (BIGINT), ``lat``, ``lon``, ``radius_m``. Points without a position, or beyond 90 or 180
     degrees, lie in none; equal points and overlapping zones give a row for each pair, an empty side none. Zones with a
-    null in any column hold nothing.
+    null in any column, beyond 90 degrees, or of a negative radius hold nothing.
 
-    The decomposition travels to the points, which aren't shuffled. Its size is proved by a count: zones are cut by
-    latitude into blocks of at most ``block``, and each block is a pass over the points, which read only the latitudes
-    that the block covers. A table of a few hundred zones is one block.
+    Points that share no cell of a degree with any zone leave first, by a broadcast of the cells with zones, of which the
+    globe has 64,800. The others are shuffled once to the slabs of their latitude; a hot latitude is split by ``salts``, and
+    its zones go to each of its tasks. A task holds the zones of one group of slabs, in decompositions of bounded size.
     """
-    zones = zones.select(zone_id, "lat", "lon", "radius_m").dropna()
-    n = zones.count()
     spark = points.sparkSession
     ship(spark)
-    schema = "key BIGINT, zone BIGINT"
-    flat = points.select(key.alias("key"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon")).where("abs(lat) <= 90 AND abs(lon) <= 180")
-    if n == 0:
-        return flat.limit(0).select("key", F.lit(0).cast("long").alias(zone_id))
-    blocks = -(-n // block)
-    numbered = zones if blocks == 1 else zones.repartitionByRange(blocks, "lat").withColumn("part", F.spark_partition_id()).persist()
-    out = None
-    for b in range(blocks):
-        z = (numbered if blocks == 1 else numbered.where(F.col("part") == b)).toPandas()
-        slabs = Slabs(z[zone_id].to_numpy(), z["lat"].to_numpy(float), z["lon"].to_numpy(float), z["radius_m"].to_numpy(float))
-        shared = spark.sparkContext.broadcast(slabs)
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            slabs = shared.value
-            for x in batches:
-                p, m = slabs.locate(x.column("lat").to_numpy(zero_copy_only=False), x.column("lon").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([x.column("key").take(pa.array(p)), pa.array(slabs.ids[m].astype(np.int64))], names=["key", "zone"])
-
-        covered = flat.where(F.col("lat").between(float(slabs.cuts[0]), float(slabs.cuts[-1])))
-        found = covered.mapInArrow(find, schema)
-        out = found if out is None else out.unionAll(found)
-    return out.withColumnRenamed("zone", zone_id)
+    salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    flat = points.select(key.cast("long").alias("key"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon")).where("abs(lat) <= 90 AND abs(lon) <= 180")
+    ang = F.least(F.degrees(F.col("radius_m") / EARTH_M * (1 + 1e-5)) + 1e-6, F.lit(180.0))
+    z = zones.select(F.col(zone_id).cast("long").alias("key"), *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "radius_m")]).dropna().where("abs(lat) <= 90 AND radius_m >= 0")
+    over, under = F.col("lat") + F.col("ang") > 90, F.col("lat") - F.col("ang") < -90  # a pole lies within
+    low = F.when(over, F.least(F.col("lat") - F.col("ang"), 180 - F.col("lat") - F.col("ang"))).otherwise(F.col("lat") - F.col("ang"))
+    high = F.when(under, F.greatest(F.col("lat") + F.col("ang"), -180 - F.col("lat") + F.col("ang"))).otherwise(F.col("lat") + F.col("ang"))
+    wide = F.when(over | under, 180.0).otherwise(F.degrees(F.asin(F.least(F.sin(F.radians("ang")) / F.cos(F.radians("lat")), F.lit(1.0)))))
+    z = z.withColumn("ang", ang).withColumns({"wide": wide, "band": F.explode(_bands(low, high))}).drop("ang")
+    cell = lambda c: F.floor((c + 180) / BAND).cast("int")
+    round_ = int(360 / BAND)
+    cells = z.select("band", F.explode(F.sequence(cell(F.col("lon") - F.col("wide") - 1e-6), cell(F.col("lon") + F.col("wide") + 1e-6))).alias("cell"))
+    cells = cells.select("band", F.pmod("cell", F.lit(round_)).alias("cell")).distinct()  # at most 64,800
+    near = flat.withColumns({"band": _bands(F.col("lat"), F.col("lat"))[0], "cell": F.pmod(cell(F.col("lon")), F.lit(round_))}).join(F.broadcast(cells), ["band", "cell"], "left_semi")
+    group = lambda salt: (F.col("band") * salts + salt).alias("slabs")
+    moving = near.select(group(F.pmod(F.xxhash64("key", "lat", "lon"), F.lit(salts)).cast("int")), "key", "lat", "lon", F.lit(None).cast("double").alias("radius_m"))
+    held = z.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(group(F.col("salt")), "key", "lat", "lon", "radius_m")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, slabs = None, [], None
+        for x in batches:
+            g = x.column("slabs").to_numpy()
+            ids, rows = x.column("key"), [x.column(n).to_numpy(zero_copy_only=False) for n in ("lat", "lon", "radius_m")]
+            bounds = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            points, hits = [], []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if g[a] != at:
+                    at, parts, slabs = g[a], [], None
+                m = a + int(np.count_nonzero(np.isfinite(rows[2][a:b])))  # zones come first
+                if m > a:
+                    parts.append([ids.slice(a, m - a).to_numpy(), *[r[a:m] for r in rows]])
+                if m == b or not parts:
+                    continue
+                if slabs is None:
+                    low = (at // salts) * BAND - 90
+                    slabs = list(decompositions(*[np.concatenate(p) for p in zip(*parts)], low, low + BAND))
+                for s in slabs:
+                    p, z = s.locate(rows[0][m:b], rows[1][m:b])
+                    if len(p):
+                        points.append(p + m)
+                        hits.append(s.ids[z])
+            if points:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(points))), pa.array(np.concatenate(hits).astype(np.int64))], names=["key", "zone"])
+
+    both = held.unionByName(moving).repartition("slabs").sortWithinPartitions("slabs", F.col("radius_m").desc_nulls_last())
+    return both.mapInArrow(find, "key BIGINT, zone BIGINT").withColumnRenamed("zone", zone_id)
