@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
+from skytide.llm.spread import spread
 from skytide.session import ship
 
 #: Fixed value: the public pattern that splits text into the pieces merges stay within.
@@ -131,14 +132,14 @@ def encode(df: DataFrame, key: Column, text: Column, vocabulary: str, partitions
     Empty and null texts give the empty list. Each row gives a row, repeated and null keys included; a text of any length
     is encoded whole; an empty table gives no rows.
 
-    The file is read on the driver and its merges are broadcast, which the file bounds (50,000 merges, a few MB). Rows
-    are spread evenly by one shuffle of the text, as scans give few and unequal tasks for the CPU time that this takes.
+    The file is read on the driver and its merges are broadcast, which the file bounds (50,000 merges, a few MB). Texts
+    are encoded where they are read; only a table of fewer splits than cores is shuffled.
     """
     spark = df.sparkSession
     ship(spark)
     merges = spark.sparkContext.broadcast(Merges.read(vocabulary))
     rows = df.select(key.cast("long").alias("key"), text.alias("text"))
-    rows = rows.repartition(partitions or 4 * max(spark.sparkContext.defaultParallelism, 2))
+    rows = spread(rows, partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges.value)
