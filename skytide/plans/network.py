@@ -307,7 +307,7 @@ def _fold_sql(src: str, out: str) -> str:
     best = ", ".join(f"arg_max({n}, {{'a': ms, 'b': seq}}) FILTER ({n} IS NOT NULL AND ms >= 0) OVER w AS s_{n}" for n in names)
     diff = " OR ".join(f"s_{n} IS DISTINCT FROM lag(s_{n}) OVER o" for n in names)
     cols = ", ".join(f"s_{n} AS {n}" for n in PAYLOAD)
-    return f"""{out}1 AS (SELECT *, epoch_ms(ts) AS ms, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN ts END AS position_ts FROM {src} WHERE icao IS NOT NULL),
+    return f"""{out}1 AS (SELECT *, epoch_us(ts) // 1000 AS ms, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN ts END AS position_ts FROM {src} WHERE icao IS NOT NULL),
     {out}2 AS (SELECT seq, icao, station_id, ts, {best}, min(ts) OVER w AS first_seen, max(ts) OVER w AS last_seen, count(*) OVER w AS messages,
         list_sort(list_distinct(list(station_id) OVER w)) AS st FROM {out}1 WINDOW w AS (PARTITION BY icao ORDER BY seq ROWS UNBOUNDED PRECEDING)),
     {out} AS (SELECT seq, icao, station_id AS event_station_id, epoch_us(ts) AS event_ts_us, {cols}, epoch_us(s_position_ts) AS position_ts_us, epoch_us(first_seen) AS first_seen_us,
