@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -39,15 +41,19 @@ class MarkProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "us BIGINT, fp STRING")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        mark = self.mark.get() if self.mark.exists() else None
-        us, fp = (mark[0], mark[1]) if mark else (None, None)
-        for r in sorted(rows, key=lambda r: r.seq):
-            if us is None or r.us > us or (r.us == us and r.fp != fp):
-                us, fp = r.us, r.fp
-                yield r
-        if us is not None:
-            self.mark.update((us, fp))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        us, fp = x["us"].to_numpy(), x["fp"].to_numpy()
+        if self.mark.exists():
+            first, name = self.mark.get()
+        else:
+            first, name = np.iinfo(np.int64).min, None
+        # a message no older than all before it passes or equals the mark, so the mark is the one before among these
+        new = us >= np.maximum.accumulate(np.append(first, us))[:-1]
+        us, fp = us[new], fp[new]
+        if len(us):
+            self.mark.update((int(us[-1]), fp[-1]))
+            yield x[new][(us != np.append(first, us)[:-1]) | (fp != np.append(name, fp)[:-1])]
 
     def close(self) -> None:
         pass
@@ -75,10 +81,10 @@ class FoldProcessor(StatefulProcessor):
     def _store(self, s: dict) -> None:
         self.state.update(tuple(s[f.name] for f in PICTURE) + (s["set_ms"], s["dirty"], s["heard_ms"]))
 
-    def _row(self, kind: str, icao: str, s: dict | None, seq=None, station=None, us=None) -> Row:
-        return Row(*STATE_LOG.names)(kind, seq, icao, station, us, *[s and s[f.name] for f in PICTURE])
+    def _alone(self, kind: str, icao: str, s: dict | None) -> pd.DataFrame:
+        return _frame([[kind], [None], [icao], [None], [None], *[[s and s[f.name]] for f in PICTURE]])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs() if self.sweep_ms else 0
         if self.state.exists():
             s = self._load()
@@ -86,59 +92,89 @@ class FoldProcessor(StatefulProcessor):
             s = dict.fromkeys([f.name for f in PICTURE]) | {"stations": [], "messages": 0, "set_ms": [0] * len(FIELDS)}
             if self.sweep_ms:
                 self.handle.registerTimer(now + self.sweep_ms)
-        for r in sorted(rows, key=lambda r: r.seq):
-            s["heard_ms"] = now
-            if apply(s, r):
-                yield self._row("changed", key[0], s, r.seq, r.station_id, r.us)
+        s["heard_ms"] = now
+        x = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        pictures, changed = apply(s, x)
         self._store(s)
+        at = np.flatnonzero(changed)
+        if len(at):
+            given = [x[c].to_numpy()[at] for c in ("seq", "station_id", "us")]
+            yield _frame([["changed"] * len(at), given[0], [key[0]] * len(at), given[1], given[2], *[[pictures[f.name][i] for i in at] for f in PICTURE]])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
         at, s = expiredTimerInfo.getExpiryTimeInMs(), self._load()
         if at - s["heard_ms"] > self.expire_ms:
             self.state.clear()
-            yield self._row("tombstone", key[0], None)
+            yield self._alone("tombstone", key[0], None)
             return
         if s["dirty"]:
             s["dirty"] = False
             self._store(s)
-            yield self._row("sweep", key[0], s)
+            yield self._alone("sweep", key[0], s)
         self.handle.registerTimer(at + self.sweep_ms)
 
     def close(self) -> None:
         pass
 
 
-def apply(s: dict, r) -> bool:
-    """Fold a message into a picture; whether any field changed. A field takes the value of a message that is at least as
-    new (in milliseconds) as the one that last set it."""
-    s["first_us"] = r.us if s["first_us"] is None else min(s["first_us"], r.us)
-    s["last_us"] = r.us if s["last_us"] is None else max(s["last_us"], r.us)
-    s["messages"] += 1
-    if r.station_id not in s["stations"]:
-        s["stations"] = sorted([*s["stations"], r.station_id])
-    ms, changed = r.us // 1000, False
+def _frame(columns: list) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(STATE_LOG.names, columns)})
+
+
+def apply(s: dict, x: pd.DataFrame) -> tuple[dict[str, list], np.ndarray]:
+    """Fold an aircraft's messages, in order, into its picture s; the pictures after each (a list per member), and whether any
+    field changed. A field takes the value of a message that is at least as new (in milliseconds) as the one that last set
+    it: who takes it is told by a running maximum, for all messages at once."""
+    n = len(x)
+    us = x["us"].to_numpy()
+    ms, rows, changed, out = us // 1000, np.arange(n), np.zeros(n, bool), {}
+    there = {f: x[f].notna().to_numpy() for f in PAYLOAD} | {"position_us": (x["lat"].notna() & x["lon"].notna()).to_numpy()}
     for k, f in enumerate(FIELDS):
-        v = (r.us if r.lat is not None and r.lon is not None else None) if f == "position_us" else r[f]
-        if v is not None and ms >= s["set_ms"][k]:
-            s["set_ms"][k] = ms
-            if s[f] != v:
-                s[f], changed = v, True
-    s["dirty"] = not changed
-    return changed
+        has = there[f]
+        if not has.any():
+            out[f] = [s[f]] * n
+            continue
+        v = us if f == "position_us" else x[f].to_numpy()
+        takes = has & (ms >= np.maximum.accumulate(np.append(s["set_ms"][k], np.where(has, ms, -1)))[:-1])
+        by = np.maximum.accumulate(np.where(takes, rows, -1)).tolist()
+        known = {i: _plain(f, v[i]) for i in np.flatnonzero(takes).tolist()} | {-1: s[f]}
+        values = [known[i] for i in by]
+        for i in np.flatnonzero(takes).tolist():
+            changed[i] |= values[i] != (values[i - 1] if i else s[f])
+        out[f], s[f] = values, values[-1]
+        if by[-1] >= 0:
+            s["set_ms"][k] = int(ms[by[-1]])
+    first, last = us if s["first_us"] is None else np.append(s["first_us"], us), us if s["last_us"] is None else np.append(s["last_us"], us)
+    out["first_us"], out["last_us"] = np.minimum.accumulate(first)[-n:].tolist(), np.maximum.accumulate(last)[-n:].tolist()
+    out["messages"] = (s["messages"] + 1 + rows).tolist()
+    stations, held = [], s["stations"]
+    for name in x["station_id"].to_numpy():
+        if name not in held:
+            held = sorted([*held, name])
+        stations.append(held)
+    out["stations"] = stations
+    s |= {"first_us": out["first_us"][-1], "last_us": out["last_us"][-1], "messages": out["messages"][-1], "stations": held, "dirty": not changed[-1]}
+    return out, changed
+
+
+def _plain(f: str, v):
+    """A value of a message's column, which pandas may have widened, as the type of the field."""
+    kind = "bigint" if f == "position_us" else PAYLOAD[f]
+    return {"int": int, "bigint": int, "double": float, "boolean": bool}.get(kind, str)(v)
 
 
 def decoded_stream(raw: DataFrame) -> DataFrame:
     """Query A's plan over a stream of RAW."""
     rows = decode(raw).select("seq", "station_id", F.unix_micros("ts").alias("us"), "icao", fingerprint().alias("fp"), *PAYLOAD)
-    return rows.groupBy("station_id").transformWithState(MarkProcessor(), DECODED, "Append", "None")
+    return rows.groupBy("station_id").transformWithStateInPandas(MarkProcessor(), DECODED, "Append", "None")
 
 
 def state_stream(decoded: DataFrame, sweep_ms: int | None = SWEEP_MS, expire_ms: int = EXPIRE_MS) -> DataFrame:
     """Query B's plan over a stream of DECODED."""
     rows = decoded.where("icao IS NOT NULL")
-    return rows.groupBy("icao").transformWithState(FoldProcessor(sweep_ms, expire_ms), STATE_LOG, "Append", "ProcessingTime" if sweep_ms else "None")
+    return rows.groupBy("icao").transformWithStateInPandas(FoldProcessor(sweep_ms, expire_ms), STATE_LOG, "Append", "ProcessingTime" if sweep_ms else "None")
 
 
 def start_decoder(spark: SparkSession, raw: DataFrame, root: str, trigger: dict) -> StreamingQuery:
@@ -177,15 +213,18 @@ def start_history(spark: SparkSession, topics: list[str], table: str, checkpoint
         rows = df.withColumns(times).drop("kind", *names)
         broken = F.greatest(*[F.col(c).isNull() for c in REQUIRED])
         rows = rows.withColumn("icao", F.when(broken, F.raise_error(F.lit("a trace lacks a required member")).cast("string")).otherwise(F.col("icao")))
-        there = _history(df.sparkSession, table, rows.schema)
+        days = [r.day for r in rows.select(F.to_date("last_seen").alias("day")).distinct().collect()]  # few
+        there = _history(df.sparkSession, table, rows.schema, days)
         write_traces(insert_new(there, rows, KEY, "seq"), table)
 
     traces = subscribe(spark, topics, STATE_LOG)
     return traces.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _history(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+def _history(spark: SparkSession, table: str, schema: T.StructType, days: list) -> DataFrame:
+    """The history's rows of some days of last_seen, which is part of the key, so no other folder can hold a batch's keys."""
     fs, path = filesystem(spark, table)
     if not fs.exists(path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(table)
+    kept = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+    return spark.read.schema(kept).parquet(table).where(F.col("day").isin(days)).drop("day")
