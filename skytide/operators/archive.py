@@ -64,6 +64,13 @@ def replay(archive: DataFrame) -> DataFrame:
     return numbered(rows, ORDER)
 
 
+def produce(replayed: DataFrame, topic: str, size: int = 5000) -> None:
+    """Write a replay to a folder topic as deliveries without a number of their own (id 0) or a receive time, in batches of
+    ``size`` records in order (column ``batch``)."""
+    rows = replayed.select("seq", "station_id", F.lit(0).cast("long").alias("id"), "ts", "raw", F.lit(None).cast("timestamp").alias("received_at"), F.floor((F.col("seq") - 1) / size).alias("batch"))
+    rows.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{topic}/batch_id=0")
+
+
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with ``seq``: their place in the order of the given columns (which must be total for a unique answer)."""
     spark = rows.sparkSession

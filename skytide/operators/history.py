@@ -41,8 +41,9 @@ def write_traces(rows: DataFrame, path: str) -> None:
 
 
 def flight_path(traces: DataFrame, icao, start, end) -> DataFrame:
-    """Positions of an aircraft in a range of last_seen, in order."""
+    """Positions of an aircraft in a range of last_seen (columns or times), in order."""
+    start, end = F.lit(start), F.lit(end)
     inside = (F.col("icao") == icao) & F.col("last_seen").between(start, end)
     if "day" in traces.columns:
-        inside = inside & F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+        inside = inside & F.col("day").between(F.to_date(start), F.to_date(end))
     return traces.where(inside).select("lat", "lon", "position_ts").orderBy("position_ts")

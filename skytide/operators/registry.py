@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytide.session import ship, stage
+
 #: Registry tables of up to this many rows travel to the requests; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,3 +75,20 @@ def revoke_station(stations: DataFrame, ids: DataFrame, at) -> DataFrame:
 def add_station(stations: DataFrame, new: DataFrame) -> DataFrame:
     """stations with further ones (``created_at``), each under a new random id."""
     return stations.unionByName(new.select(F.expr("uuid()").alias("id"), "created_at", F.lit(None).cast("timestamp").alias("revoked_at")))
+
+
+def mint_tokens(stations: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """A new token for each of stations (``id``; a station may be named several times): rows for the table of tokens, which
+    holds hashes only, and ``station_id, token`` to hand out once. Tokens are 32 random bytes in hexadecimal digits. They are
+    drawn once and written to the shared folder, so that both frames show the same ones."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [secrets.token_hex(32) for _ in range(b.num_rows)]
+            hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string()), pa.array(hashes, pa.string())], names=["station_id", "token", "token_hash"])
+
+    ship(stations.sparkSession)
+    drawn = stage(stations.select("id").mapInArrow(draw, "station_id STRING, token STRING, token_hash STRING"), "tokens")
+    rows = drawn.select("token_hash", "station_id", at.alias("created_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
+    return rows, drawn.select("station_id", "token")

@@ -109,12 +109,17 @@ def q_backfill_merge(s, d):
     return plain(history.upsert(first, again).drop("seq"))
 
 
+#: A range of the log that has every hour of the day.
+SINCE, UNTIL = "2025-03-04T06:00:00Z", "2025-03-07T18:00:00Z"
+
+
 def q_flight_path(s, d):
-    """Path of the most heard aircraft over its whole range."""
-    rows = stage(traces(_folded(s, d)), "traces")
-    busiest = rows.groupBy("icao").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "icao").limit(1)
-    path = rows.join(F.broadcast(busiest.select("icao")), "icao", "left_semi")  # one row
-    return plain(path.where("lat IS NOT NULL AND lon IS NOT NULL").select("seq", "lat", "lon", "position_ts").orderBy("position_ts"))
+    """Path of the most heard aircraft over some days."""
+    rows = stage(traces(_folded(s, d)), "traces").withColumn("day", F.to_date("last_seen"))
+    busiest = rows.groupBy("icao").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "icao").first()
+    when = lambda t: F.to_timestamp(F.lit(t))
+    path = history.flight_path(rows, busiest.icao if busiest else None, when(SINCE), when(UNTIL))
+    return plain(path.where("lat IS NOT NULL AND lon IS NOT NULL"))
 
 
 def q_archive_partition(s, d):
@@ -353,7 +358,8 @@ SQL: dict[str, str] = {
     + f" SELECT * EXCLUDE (seq) FROM t UNION ALL SELECT * EXCLUDE (seq) FROM (SELECT u.* FROM u ANTI JOIN t USING ({_KEYS}))",
     "q_flight_path": _F
     + f", t AS {_TRACE}, b AS (SELECT icao FROM t GROUP BY icao ORDER BY count(*) DESC, icao LIMIT 1)"
-    + " SELECT seq, lat, lon, position_ts_us FROM t WHERE icao IN (SELECT icao FROM b) AND lat IS NOT NULL AND lon IS NOT NULL",
+    + " SELECT lat, lon, position_ts_us FROM t WHERE icao IN (SELECT icao FROM b) AND lat IS NOT NULL AND lon IS NOT NULL"
+    + f" AND last_seen_us BETWEEN epoch_us(TIMESTAMPTZ '{SINCE}') AND epoch_us(TIMESTAMPTZ '{UNTIL}')",
     "q_archive_partition": _A + f" SELECT dt, station_id, {_US}, raw FROM a",
     "q_archive_days": _A + " SELECT DISTINCT dt FROM a WHERE dt <> 'unknown'",
     "q_archive_manifest": _A

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from skytide.session import filesystem, remove_dir
 
 
 def publish(rows: DataFrame, topic: str, batch: int) -> None:
@@ -29,9 +32,47 @@ def read(spark: SparkSession, topic: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(topic)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of receiver lines from text files, carriage returns removed, blank lines left out."""
-    return spark.readStream.text(path).select(F.regexp_replace("value", r"\r+$", "").alias("raw")).where("raw <> ''")
+def compact(spark: SparkSession, topic: str, schema: T.StructType, key: str, order: str) -> None:
+    """Rewrite a folder topic that no query is writing to, so that only the last row of each key by order remains. The rows are
+    written beside it first, so a reader finds either the old batches or the new one."""
+    rows = read(spark, topic, schema)
+    others = [c for c in schema.names if c != key]
+    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), order).alias("x")).select(key, "x.*").select(*schema.names)
+    new = f"{topic.rstrip('/')}.compacted"
+    last.write.mode("overwrite").parquet(f"{new}/batch_id=0")
+    fs, at = filesystem(spark, topic)
+    fs.delete(at, True)
+    fs.rename(filesystem(spark, new)[1], at)
+
+
+def expire(spark: SparkSession, topic: str, schema: T.StructType, time: str, before) -> None:
+    """Drop the batches of a folder topic in which every row is older than a time; a batch with one newer row, or one without a
+    time, stays whole."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(topic)
+    old = rows.groupBy("batch_id").agg(F.max(F.coalesce(F.col(time) >= before, F.lit(True))).alias("kept")).where("NOT kept")
+    for r in old.select("batch_id").toLocalIterator():
+        remove_dir(spark, f"{topic}/batch_id={r.batch_id}")
+
+
+def lag(ends: DataFrame, commits: DataFrame, groups: DataFrame, slack: int) -> DataFrame:
+    """``reader, topic, behind``: how many partitions of a topic (ends: ``topic, part, last``) each of its readers (groups:
+    ``reader, topic``; commits: ``reader, topic, part, done``) has more than slack records left of. A reader that has
+    committed nothing of a topic hasn't started: it is behind by 1."""
+    left = commits.join(ends, ["topic", "part"]).groupBy("reader", "topic").agg(F.count(F.when(F.col("last") - F.col("done") > slack, 1)).alias("behind"))
+    return groups.join(left, ["reader", "topic"], "left").select("reader", "topic", F.coalesce("behind", F.lit(1)).alias("behind"))
+
+
+def ingest(rows: DataFrame, topic: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Micro-batches of a stream into a folder topic, as often as the trigger says and as large as the source's limit per
+    batch. What is pending when the query stops is read again when it starts, so nothing is dropped."""
+    return rows.writeStream.foreachBatch(lambda df, b: publish(df, topic, b)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def lines(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream of receiver lines from text files, carriage returns removed, blank lines left out; files: of one batch at
+    most."""
+    r = spark.readStream.option("maxFilesPerTrigger", str(files)) if files else spark.readStream
+    return r.text(path).select(F.regexp_replace("value", r"\r+$", "").alias("raw")).where("raw <> ''")
 
 
 def kafka(spark: SparkSession, servers: str, topics: list[str]) -> DataFrame:
