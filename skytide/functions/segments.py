@@ -27,7 +27,10 @@ def chunked(df: DataFrame, keys: list[str], us: str, chunk_us: int, halo_us: int
         df = df.withColumn("own", own).withColumn("chunk", F.explode(places)).withColumn("core", F.col("chunk") == F.col("own")).drop("own")
     else:
         df = df.withColumn("chunk", own).withColumn("core", F.lit(True))
-    return df.repartition(*keys, "chunk").sortWithinPartitions(*keys, "chunk", *order)
+    # a given number of partitions isn't merged at run time by size, which says little about the time that Python takes
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys, "chunk").sortWithinPartitions(*keys, "chunk", *order)
 
 
 def whole_segments(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
