@@ -94,19 +94,19 @@ def tile(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, in
     return out
 
 
-def _seeds_of(ws: list[list[str]], least: int) -> list[np.ndarray]:
-    """The distinct seeds' hashes of each list of words."""
-    h = hashes([w for x in ws for w in x])
-    out, at = [], 0
-    for x in ws:
-        out.append(np.unique(rolling(h[at : at + len(x)], least)).view(np.int64))
-        at += len(x)
-    return out
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+def _seeds_of(ws: list[list[str]], least: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds' hashes of many lists of words, and the number of each one's list; each pair once. bits: only those in the
+    map."""
+    r = rolling(hashes([w for x in ws for w in x]), least)
+    ends = np.cumsum([len(x) for x in ws])
+    at = np.arange(len(r))
+    if bits is not None:
+        n = r & np.uint64(BITS - 1)
+        at = np.flatnonzero(bits[n >> np.uint64(3)] >> (n & np.uint64(7)).astype(np.uint8) & 1)
+    of = np.searchsorted(ends, at, side="right")
+    inside = at + least <= ends[of] if len(at) else np.empty(0, bool)  # within one list
+    both = np.unique(np.stack([of[inside], r[at[inside]].view(np.int64)]), axis=1)
+    return both[0], both[1]
 
 
 def _seeds(items: DataFrame, least: int) -> DataFrame:
@@ -114,10 +114,10 @@ def _seeds(items: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = _seeds_of([words(t) for t in b.column("item_text").to_pylist()], least)
-            yield pa.RecordBatch.from_arrays([b.column("item"), _lists(found)], names=["item", "seeds"])
+            of, found = _seeds_of([words(t) for t in b.column("item_text").to_pylist()], least)
+            yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(of)), pa.array(found)], names=["item", "seed"])
 
-    return items.mapInArrow(run, "item BIGINT, seeds ARRAY<BIGINT>").select("item", F.explode("seeds").alias("seed")).distinct()
+    return items.mapInArrow(run, "item BIGINT, seed BIGINT").distinct()
 
 
 def _bits(seeds: DataFrame) -> np.ndarray:
@@ -136,12 +136,11 @@ def _candidates(spark: SparkSession, rows: DataFrame, bits: np.ndarray, least: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = shared.value
         for b in batches:
-            found = _seeds_of([words(t) for t in b.column("text").to_pylist()], least)
-            at = [s.view(np.uint64) & np.uint64(BITS - 1) for s in found]
-            found = [s[(there[n >> np.uint64(3)] >> (n & np.uint64(7)).astype(np.uint8) & 1) == 1] for s, n in zip(found, at)]
-            hit = [k for k, s in enumerate(found) if len(s)]
-            keep = pa.array(hit, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("key").take(keep), b.column("text").take(keep), _lists([found[k] for k in hit])], names=["key", "text", "seeds"])
+            of, found = _seeds_of([words(t) for t in b.column("text").to_pylist()], least, there)
+            hit, first = np.unique(of, return_index=True)
+            seeds = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array(found))
+            keep = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(keep), b.column("text").take(keep), seeds], names=["key", "text", "seeds"])
 
     return rows.mapInArrow(run, "key BIGINT, text STRING, seeds ARRAY<BIGINT>")
 
