@@ -65,7 +65,8 @@ def tile(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, in
     length = min(len(doc), len(item))
 
     def shared(n: int) -> bool:
-        return bool(np.isin(i.runs(room_i, n)[1], d.runs(room_d, n)[1]).any())
+        few, many = np.sort(i.runs(room_i, n)[1]), d.runs(room_d, n)[1]
+        return len(few) > 0 and bool((few[np.minimum(np.searchsorted(few, many), len(few) - 1)] == many).any())
 
     while length >= least and shared(least):
         low, high = least, length
@@ -168,16 +169,15 @@ def leaks(
     held = stage(_candidates(spark, rows, _bits(seeds), least).withColumn("row", F.monotonically_increasing_id()), "leaks")
     pairs = held.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item").distinct()
     both = pairs.join(held.select("row", "key", "text"), "row").join(items, "item").select("row", "key", "text", "item", "item_text")
+    # a given number isn't merged at run time by size, which says little about the time that tiling takes
+    both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "row", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, doc = None, []
         for b in batches:
             out = []
-            for r, k, t, n, u in zip(*[b.column(c).to_pylist() for c in ("row", "key", "text", "item", "item_text")]):
-                if r != last:
-                    last, doc = r, words(t)
+            for k, t, n, u in zip(*[b.column(c).to_pylist() for c in ("key", "text", "item", "item_text")]):
                 item = words(u)
-                laid = [x[2] for x in tile(doc, item, least)]
+                laid = [x[2] for x in tile(words(t), item, least)]
                 if laid and sum(laid) >= coverage * len(item):
                     out.append((k, n, len(laid), max(laid), sum(laid), len(item)))
             cols = list(zip(*out)) if out else [()] * 6
