@@ -23,15 +23,13 @@ def drop_replays(decoded: DataFrame, chunk: int = CHUNK) -> DataFrame:
     and fingerprint, is dropped; any other passes and becomes the mark. Two different messages of one instant so both
     pass, and payload isn't compared. Messages need a station and a time (decode sees to that).
 
-    A message passes the first test if it is no older than the running maximum of the times before it, and the message
-    before it among those that do is the mark. Both are running state per station, kept over chunks of ``seq``.
+    The mark is so the one of the greatest time among the messages before, and of those the last: a running maximum of
+    (time, seq, fingerprint) per station, kept over chunks of ``seq``.
     """
+    mark = F.struct("ts", "seq", "fp")
     rows = decoded.withColumn("chunk", F.floor(F.col("seq") / chunk)).withColumn("fp", fingerprint())
-    rows = carry_in(rows, ["station_id"], {"top": F.max("ts")}, {"top": "max"})
-    w = Window.partitionBy("station_id", "chunk").orderBy("seq")
-    top = F.greatest("c_top", F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    candidates = rows.withColumn("top", top).where("top IS NULL OR ts >= top").drop("top", "c_top")
-    mark = F.struct("ts", "fp")
-    marked = carry_in(candidates, ["station_id"], {"mark": F.max_by(mark, "seq")}, {"mark": "last"})
-    before = F.coalesce(F.lag(mark).over(w), F.col("c_mark"))
-    return marked.withColumn("before", before).where("before IS NULL OR before.ts <> ts OR before.fp <> fp").select(*decoded.columns)
+    rows = carry_in(rows, ["station_id"], {"mark": F.max(mark)}, {"mark": "max"})
+    w = Window.partitionBy("station_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.greatest("c_mark", F.max(mark).over(w))
+    passes = F.col("before").isNull() | (F.col("ts") > F.col("before.ts")) | ((F.col("ts") == F.col("before.ts")) & (F.col("fp") != F.col("before.fp")))
+    return rows.withColumn("before", before).where(passes).select(*decoded.columns)
