@@ -11,7 +11,7 @@ from skytide.operators import archive, history, ingress, livemap, registry
 from skytide.operators.decode import from_json_log, message_key, to_json_log
 from skytide.operators.fold import fold, traces
 from skytide.operators.marks import fingerprint
-from skytide.plans.network import _D, _F, _H, _KEYS, _REPLAY, _TRACE, Query, _beats, _decoded, _deduped, _folded, _wire, plain
+from skytide.plans.network import _A, _D, _F, _KEYS, _REPLAY, _TRACE, Query, _decoded, _deduped, _folded, _requests, _wire, plain
 from skytide.plans.network import _fold_sql as fold_sql
 from skytide.schemas import PAYLOAD, RFC3339, TRACE, struct
 from skytide.session import shared_dir, stage
@@ -184,6 +184,45 @@ def q_live_expiry(s, d):
     return topics.read(s, f"{root}/state", live.STATE_LOG).groupBy("icao").agg(count("changed"), count("sweep"), count("tombstone"))
 
 
+def q_live_restart(s, d):
+    """Traces of the live pipeline, stopped in the middle of the log and started again from its checkpoints."""
+    root, rows = shared_dir(s, "restart"), _wire(s, d)
+    middle = rows.agg(F.avg("seq")).first()[0] or 0
+    for b, part in enumerate((rows.where(F.col("seq") < middle), rows.where(F.col("seq") >= middle))):
+        topics.publish(part, f"{root}/raw", b)
+        live.start_decoder(s, topics.subscribe(s, [f"{root}/raw"], live.RAW), root, {"availableNow": True}).awaitTermination()
+        live.start_folder(s, root, {"availableNow": True}, None).awaitTermination()
+    made = topics.read(s, f"{root}/traces", live.STATE_LOG).drop("kind")
+    return plain(made.withColumnsRenamed({"position_us": "position_ts_us", "first_us": "first_seen_us", "last_us": "last_seen_us", "event_us": "event_ts_us"}))
+
+
+def q_archive_stream(s, d):
+    """The log's topic archived by a streaming query, started again for its second half: events per date and station."""
+    root, rows = shared_dir(s, "archiver"), _wire(s, d)
+    for b in range(2):
+        topics.publish(rows.where(F.pmod("seq", F.lit(2)) == b), f"{root}/raw", b)
+        live.start_archiver(topics.subscribe(s, [f"{root}/raw"], live.RAW), f"{root}/archive", f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    return archive.read_archive(s, f"{root}/archive").groupBy("dt", "station_id").agg(F.count("*").alias("events"))
+
+
+def q_gateway_publish(s, d):
+    """The events of all requests published to a topic, keyed by station, and read again."""
+    topic = f"{shared_dir(s, 'gateway')}/topic"
+    rows = ingress.explode_events(_requests(s, d))
+    topics.publish(rows.withColumn("key", F.col("station_id")), topic, 0)
+    kinds = T.StructType([T.StructField("key", T.StringType()), *[f for f in live.RAW.fields if f.name != "seq"]])
+    return plain(topics.read(s, topic, kinds))
+
+
+def q_state_records(s, d):
+    """The state topic's records: the traces, and a tombstone after every seventh; what is there of each aircraft."""
+    log = _log(traces(_folded(s, d)))
+    gone = log.where("seq % 7 = 0").withColumns({"kind": F.lit("tombstone"), "seq": F.col("seq") + 0.5})
+    kept = stage(log.unionByName(gone), "state")
+    last = live.state_records(kept).groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("x")).select("key", "x.value").where("value IS NOT NULL")
+    return plain(last.select("key", F.from_json("value", TRACE).alias("t")).select("key", "t.last_seen", "t.messages", "t.stations", "t.altitude", "t.lat", "t.lon", "t.on_ground"))
+
+
 QUERIES: dict[str, Query] = {n: q for n, q in list(globals().items()) if n.startswith("q_")}
 
 # -- SQL twins
@@ -227,6 +266,11 @@ SQL: dict[str, str] = {
     + f" SELECT icao, seq, event_station_id, last_seen_us, messages, altitude, lat, lon FROM {_TRACE} QUALIFY row_number() OVER (PARTITION BY icao ORDER BY seq DESC) = 1",
     "q_retention": f"""WITH r AS (SELECT coalesce(date_diff('day', DATE '1970-01-01', CAST(received_at AS DATE)), 0) AS batch_id, received_at FROM wire)
     SELECT batch_id, count(*) AS rows FROM r GROUP BY 1 HAVING bool_or(received_at IS NULL OR received_at >= TIMESTAMPTZ '{EXPIRED}')""",
+    "q_live_restart": _F + f" SELECT * FROM {_TRACE}",
+    "q_archive_stream": _A + " SELECT dt, station_id, count(*) AS events FROM a GROUP BY ALL",
+    "q_gateway_publish": "SELECT station_id AS key, station_id, id, epoch_us(ts) AS ts_us, raw, epoch_us(date_trunc('hour', received_at)) AS received_at_us FROM wire WHERE received_at IS NOT NULL",
+    "q_state_records": _F
+    + f""" SELECT icao AS key, last_seen_us, messages, stations, altitude, lat, lon, on_ground FROM {_TRACE} QUALIFY row_number() OVER (PARTITION BY icao ORDER BY seq DESC) = 1 AND seq % 7 <> 0""",
     "q_live_expiry": _F
     + """, l AS (SELECT *, row_number() OVER (PARTITION BY icao ORDER BY seq DESC) AS n FROM fol)
     SELECT icao, count(*) FILTER (changed) AS changed, count(*) FILTER (n = 1 AND NOT changed) AS sweep, CAST(1 AS BIGINT) AS tombstone FROM l GROUP BY icao""",

@@ -21,7 +21,7 @@ from skytide.operators.archive import write_archive
 from skytide.operators.decode import decode
 from skytide.operators.history import KEY, REQUIRED, insert_new, write_traces
 from skytide.operators.marks import fingerprint
-from skytide.schemas import PAYLOAD, struct
+from skytide.schemas import PAYLOAD, RFC3339, struct
 from skytide.session import filesystem, ship
 from skytide.sources.topics import publish, subscribe
 
@@ -197,6 +197,13 @@ def start_folder(spark: SparkSession, root: str, trigger: dict, sweep_ms: int |
     return states.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint/folder").trigger(**trigger).start()
 
 
+def state_records(log: DataFrame) -> DataFrame:
+    """``key, value`` of a state log: the picture as JSON, with times in UTC; a tombstone has no value."""
+    stamped = log.withColumns({new: F.timestamp_micros(old) for old, new in (("first_us", "first_seen"), ("last_us", "last_seen"), ("position_us", "position_ts"))})
+    members = F.struct("icao", "first_seen", "last_seen", "position_ts", "stations", "messages", *PAYLOAD)
+    return stamped.select("seq", F.col("icao").alias("key"), F.when(F.col("kind") != "tombstone", F.to_json(members, {"timestampFormat": RFC3339})).alias("value"))
+
+
 def start_archiver(raw: DataFrame, archive: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Query C: every event of the raw log into the archive, undecodable ones included. A batch run again replaces itself."""
     return raw.writeStream.foreachBatch(lambda df, b: write_archive(df, archive, b)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
