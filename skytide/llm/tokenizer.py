@@ -9,8 +9,10 @@ pair and a merge makes only pairs of higher rank.
 
 from __future__ import annotations
 
+import base64
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,13 +42,15 @@ def byte_letters() -> dict[str, int]:
 
 
 class Merges:
-    """The merges of a vocabulary file (the JSON of the tokenizers library, model type BPE, byte level)."""
+    """The merges of a vocabulary: the JSON of the tokenizers library (model type BPE on bytes, with its own normalizer, split
+    pattern and word ends), or a file of ranks (base64 of a token's bytes, its rank), whose ids are the ranks."""
 
-    def __init__(self, model: dict):
-        vocab, letters = model["vocab"], byte_letters()
-        self.of_byte = [0] * 256
+    def __init__(self, model: dict, pattern: str = PATTERN, normalizers: tuple = ()):
+        vocab, letters, end = model["vocab"], byte_letters(), model.get("end_of_word_suffix") or ""
+        self.pattern, self.normalizers = pattern, normalizers
+        self.of_byte, self.of_last = [0] * 256, [0] * 256
         for letter, b in letters.items():
-            self.of_byte[b] = vocab[letter]
+            self.of_byte[b], self.of_last[b] = vocab[letter], vocab[letter + end]
         self.size = max(vocab.values()) + 1
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
@@ -57,19 +61,48 @@ class Merges:
 
     @classmethod
     def read(cls, path: str) -> Merges:
+        if path.endswith(".tiktoken"):
+            with open(path, "rb") as f:
+                return cls.of_ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         with open(path, encoding="utf-8") as f:
-            return cls(json.load(f)["model"])
+            file = json.load(f)
+        splits = [x for x in _steps(file.get("pre_tokenizer"), "pretokenizers") if x["type"] == "Split"]
+        return cls(file["model"], splits[0]["pattern"]["Regex"] if splits else PATTERN, tuple(map(_normalizer, _steps(file.get("normalizer"), "normalizers"))))
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Merges:
+        """Two tokens merge if their bytes together are a token, in the order of its rank."""
+        out = cls.__new__(cls)
+        out.pattern, out.normalizers, out.size = PATTERN, (), max(ranks.values()) + 1
+        out.of_byte = out.of_last = [ranks[bytes([b])] for b in range(256)]
+        out.made = list(range(out.size))
+        out.rank = {ranks[t[:k]] * out.size + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        return out
+
+    def pieces(self, text: str) -> str:
+        """The text as the vocabulary wants it before it is split."""
+        for kind, pattern, content in self.normalizers:
+            text = unicodedata.normalize(kind, text) if kind in ("NFC", "NFD", "NFKC", "NFKD") else text.lower() if kind == "Lowercase" else regex.sub(pattern, content, text)
+        return text
+
+
+def _steps(x: dict | None, parts: str) -> list[dict]:
+    return [] if x is None else x[parts] if x["type"] == "Sequence" else [x]
+
+
+def _normalizer(x: dict) -> tuple[str, str, str]:
+    return x["type"], x.get("pattern", {}).get("Regex", ""), x.get("content", "")
 
 
 class Encoder:
     """Encodes blocks of texts; remembers short pieces between blocks."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.known, self.split = merges, {}, regex.compile(PATTERN)
+        self.merges, self.known, self.split = merges, {}, regex.compile(merges.pattern)
 
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
         """The ids of each text, without special tokens (their names are ordinary text); none for an empty or null one."""
-        pieces = [self.split.findall(t) if t else [] for t in texts]
+        pieces = [self.split.findall(self.merges.pieces(t)) if t else [] for t in texts]
         new = list({p for ps in pieces for p in ps if p not in self.known})
         ids = dict(zip(new, self._merge([p.encode("utf-8", "surrogatepass") for p in new])))
         known = self.known
@@ -82,12 +115,13 @@ class Encoder:
         return out
 
     def _merge(self, pieces: list[bytes]) -> list[list[int]]:
-        rank, made, size, of_byte = self.merges.rank, self.merges.made, self.merges.size, self.merges.of_byte
+        rank, made, size, of_byte, of_last = self.merges.rank, self.merges.made, self.merges.size, self.merges.of_byte, self.merges.of_last
         symbols: list[int] = []
         starts = []
         for p in pieces:  # a symbol of -1 parts the pieces
             starts.append(len(symbols))
-            symbols += [of_byte[b] for b in p]
+            symbols += [of_byte[b] for b in p[:-1]]
+            symbols.append(of_last[p[-1]])
             symbols.append(-1)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -127,7 +161,7 @@ class Encoder:
 
 
 def encode(df: DataFrame, key: Column, text: Column, vocabulary: str, partitions: int | None = None) -> DataFrame:
-    """``key BIGINT, ids ARRAY<INT>``: the ids of each row's text by the vocabulary file at that path.
+    """``key BIGINT, ids ARRAY<INT>``: the ids of each row's text by the vocabulary file at that path (see Merges).
 
     Empty and null texts give the empty list. Each row gives a row, repeated and null keys included; a text of any length
     is encoded whole; an empty table gives no rows.
