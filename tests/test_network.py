@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,29 +94,50 @@ def test_marks_match_a_sequential_model(spark, chunk):
     assert sorted(x.seq for x in drop_replays(spark.createDataFrame(rows, COLUMNS), chunk).collect()) == want
 
 
+def one_by_one(s: dict, m: dict) -> bool:
+    """Fold a message into a picture by plain steps; whether a field changed."""
+    us = m["us"]
+    values = {f: m[f] for f in PAYLOAD} | {"position_us": us if m["lat"] is not None and m["lon"] is not None else None}
+    changed = False
+    for f, v in values.items():
+        if v is not None and us // 1000 >= s["set"].get(f, 0):
+            changed |= s[f] != v
+            s[f], s["set"][f] = v, us // 1000
+    s["messages"] += 1
+    s["stations"] = sorted({*s["stations"], m["station_id"]})
+    s["first_us"], s["last_us"] = min(us, s["first_us"] or us), max(us, s["last_us"] or us)
+    return changed
+
+
 @pytest.mark.parametrize("chunk", [3, 40, 1000])
 def test_fold_matches_a_sequential_model(spark, chunk):
     rows = messages(200, chunk + 1)
-
-    class Message(dict):
-        __getattr__ = dict.__getitem__
-
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    state, want = {}, {}
+    members = [*PAYLOAD, "position_us", "first_us", "last_us", "stations", "messages"]
+    state, want, mine = {}, {}, {}
     for r in rows:
-        m = Message(zip(names, r))
-        if m.icao is None:
+        m = dict(zip(names, r))
+        if m["icao"] is None:
             continue
-        m["us"] = round((m.ts - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
-        s = state.setdefault(m.icao, dict.fromkeys([*PAYLOAD, "position_us", "first_us", "last_us"]) | {"stations": [], "messages": 0, "set_ms": [0] * 13})
-        changed = apply(s, m)
-        want[m.seq] = (*[s[f] for f in PAYLOAD], s["position_us"], s["first_us"], s["last_us"], s["stations"], s["messages"], changed)
+        m["us"] = round((m["ts"] - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
+        s = state.setdefault(m["icao"], dict.fromkeys(members) | {"stations": [], "messages": 0, "set": {}})
+        changed = one_by_one(s, m)
+        want[m["seq"]] = (*[s[f] for f in members], changed)
+        mine.setdefault(m["icao"], []).append(m)
     df = fold(spark.createDataFrame(rows, COLUMNS), chunk)
     us = lambda c: F.unix_micros(c)
     got = df.select("seq", *PAYLOAD, us("position_ts"), us("first_seen"), us("last_seen"), "stations", "messages", "changed").collect()
     assert {r[0]: tuple(r[1:]) for r in got} == want
     assert traces(df).count() == sum(w[-1] for w in want.values())
     assert current_sky(df).count() == 2 and len(FIELDS) == 13
+    # the live pipeline's fold, in micro-batches
+    for all_ in mine.values():
+        s = dict.fromkeys(members) | {"stations": [], "messages": 0, "set_ms": [0] * 13}
+        for k in range(0, len(all_), 7 * chunk):
+            part = all_[k : k + 7 * chunk]
+            pictures, changed = apply(s, pd.DataFrame(part))
+            for i, m in enumerate(part):
+                assert (*[pictures[f][i] for f in members], bool(changed[i])) == want[m["seq"]]
 
 
 def test_view_of_a_state_log(spark):
